@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, packing
+from . import decontaminate, ngram_join, packing, repair, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1,
+        "op4_repair_token_files": repair.op4,
+        "op6_token_counts": token_counts.op6,
         "op8_ngram_jaccard": ngram_join.op8,
         "op10_decontamination": decontaminate.op10,
     }
