@@ -46,7 +46,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndar
     return packed, np.bincount((packed & U64(0xFFFF)).astype(np.int64), minlength=len(off) - 1)
 
 
-def _post(k: int, buckets: int, most: int = 4_000_000):
+def _post(k: int, buckets: int, most: int = 1_500_000):
     """Documents to (bucket, ...) rows: kind 0 a document, kind 1 a run of postings."""
 
     def flush(held: list, docs: list) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def _post(k: int, buckets: int, most: int = 4_000_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, rows, size = [], [], 0, 0
-        for batch, data, off in C.slices(batches):
+        for batch, data, off in C.slices(batches, 1 << 20):
             for i in range(0, batch.num_rows, 32768):
                 part = batch.slice(i, 32768)
                 o = off[i : i + part.num_rows + 1]
