@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, ngram_join, packing, quality_rules, repair, token_counts
+from . import chat, cotraining, decontaminate, licenses, line_dedup, ngram_join, packing, quality_rules, repair, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1,
         "op2_quality_rules": quality_rules.op2,
+        "op3_license_scan": licenses.op3,
         "op4_repair_token_files": repair.op4,
         "op5_line_dedup": line_dedup.op5,
         "op6_token_counts": token_counts.op6,
         "op7_chat_formatting": chat.op7,
         "op8_ngram_jaccard": ngram_join.op8,
+        "op9_cotraining_quality": cotraining.op9,
         "op10_decontamination": decontaminate.op10,
     }
 
