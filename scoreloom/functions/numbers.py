@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: the optimizer does not copy it into each use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def solid(value: Column) -> Column:
+    """value as one step of its own."""
+    return let(value, lambda x: x)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
