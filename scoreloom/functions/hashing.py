@@ -10,10 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def keyed_blake2b(seed: pd.Series, value: pd.Series) -> pd.Series:
+def keyed_blake2b(seed: Column, value: Column) -> Column:
     """blake2b of seed, NUL, value as 16 hex digits: unsigned order is string order."""
-    return pd.Series([hashlib.blake2b(f"{s}\0{v}".encode(), digest_size=8).hexdigest() for s, v in zip(seed, value, strict=True)])
+
+    @F.pandas_udf("string")
+    def digest(seed: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([blake2b_hex(s, v) for s, v in zip(seed, value, strict=True)])
+
+    return digest(seed, value)
 
 
 def blake2b_hex(seed: int, value: str) -> str:

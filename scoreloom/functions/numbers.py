@@ -66,8 +66,10 @@ def grid(trait: str) -> Column:
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
     """Softmax of an array of doubles, shifted by its maximum."""
-    e = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / F.lit(temperature)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    def shifted(v: Column) -> Column:
+        return let(F.array_max(v), lambda top: F.transform(v, lambda y: F.exp((y - top) / F.lit(temperature))))
+
+    return let(let(x, shifted), lambda e: let(total(e), lambda s: F.transform(e, lambda y: y / s)))
 
 
 def total(x: Column) -> Column:

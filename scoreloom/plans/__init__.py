@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from . import evaluation
+    from . import evaluation, modelling, records, texts
 
-    return {**evaluation.QUERIES}
+    return {**evaluation.QUERIES, **texts.QUERIES, **modelling.QUERIES, **records.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
