@@ -321,7 +321,7 @@ def _verify(tau: int):
 
 def line_links(docs: DataFrame, *, tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """((h, root) classes of lines with links, (h, links) number of other texts within tau)."""
-    buckets = max(64, C.parts(docs.sparkSession))
+    buckets = max(16, C.parts(docs.sparkSession))
     met = docs.select("text").mapInArrow(_post(tau, least, buckets), "bucket int, lines binary, wide boolean, keys binary, who binary").repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long")
     blocks = C.materialize(C.components(met, "line-blocks"), "line-blocks")
     cuts = blocks.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))

@@ -34,7 +34,7 @@ from .common import U64
 
 K, NUM, DEN = 5, 75, 100
 LOW48 = U64((1 << 48) - 1)
-OUT = "kind int, doc_id long, n long, fp long, tokens binary, lists binary"
+OUT = "kind int, doc_id long, th long, n long, fp long, tokens binary, lists binary"
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +50,8 @@ def _post(k: int, buckets: int, most: int = 1_500_000):
     """Documents to (bucket, ...) rows: kind 0 a document, kind 1 a run of postings."""
 
     def flush(held: list, docs: list) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([d[0] for d in docs])
-        sizes = np.concatenate([d[1] for d in docs])
+        ids, hashes = (pa.concat_arrays([d[i] for d in docs]) for i in (0, 1))
+        sizes = np.concatenate([d[2] for d in docs])
         packed = np.sort(np.concatenate(held))
         row = (packed & U64(0xFFFF)).astype(np.int64)
         tok = packed >> U64(16)
@@ -60,7 +60,7 @@ def _post(k: int, buckets: int, most: int = 1_500_000):
         np.add.at(mixed, row, C.mix(tok ^ U64(0xA5A5A5A5A5A5)))
         fp = C.mix(total ^ C.mix(mixed + sizes.astype(U64))).view(np.int64)
         n = len(ids)
-        yield _rows(np.asarray(fp % buckets, np.int32), np.zeros(n, np.int32), ids, sizes, fp, [b""] * n, [b""] * n)
+        yield _rows(np.asarray(fp % buckets, np.int32), np.zeros(n, np.int32), ids, hashes, sizes, fp, [b""] * n, [b""] * n)
         # one run of postings a bucket; equal sets of this flush post once
         _, first = np.unique(fp, return_index=True)
         own = np.zeros(n, bool)
@@ -96,7 +96,7 @@ def _post(k: int, buckets: int, most: int = 1_500_000):
                     held, docs, rows, size = [], [], 0, 0
                 packed, sizes = shingle_sets(data[o[0] : o[-1]], o - o[0], k)
                 held.append(packed + U64(rows))
-                docs.append((part.column(0).to_numpy(zero_copy_only=False), sizes))
+                docs.append((part.column(0), part.column(1), sizes))
                 rows, size = rows + part.num_rows, size + len(packed)
             if size >= most:
                 yield from flush(held, docs)
@@ -107,16 +107,17 @@ def _post(k: int, buckets: int, most: int = 1_500_000):
     return run
 
 
-def _rows(bucket, kind, doc_id, n, fp, tokens, lists) -> pa.RecordBatch:
+def _rows(bucket, kind, doc_id, th, n, fp, tokens, lists) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(tokens, pa.binary()), pa.array(lists, pa.binary())],
-        ["bucket", "kind", "doc_id", "n", "fp", "tokens", "lists"],
+        [pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), doc_id, th, pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(tokens, pa.binary()), pa.array(lists, pa.binary())],
+        ["bucket", "kind", "doc_id", "th", "n", "fp", "tokens", "lists"],
     )
 
 
 def _blobs(out: list[tuple]) -> pa.RecordBatch:
     z = [0] * len(out)
-    return _rows([x[0] for x in out], [1] * len(out), z, z, z, [x[1] for x in out], [x[2] for x in out])
+    none = pa.nulls(len(out), pa.int64())
+    return _rows([x[0] for x in out], [1] * len(out), none, none, z, z, [x[1] for x in out], [x[2] for x in out])
 
 
 def _unblob(head: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,15 +132,18 @@ def _unblob(head: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's inverted lists: each set gets its shingles with lists of two or more sets, and the lists' lengths."""
 
-    def out(kind, doc_id, n, fp, tokens, lists):
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(tokens, pa.binary()), pa.array(lists, pa.binary())], ["kind", "doc_id", "n", "fp", "tokens", "lists"])
+    names = ["kind", "doc_id", "th", "n", "fp", "tokens", "lists"]
+
+    def out(n, fp, tokens, lists):
+        none = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([1] * len(n), pa.int32()), none, none, pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(tokens, pa.binary()), pa.array(lists, pa.binary())], names)
 
     held: dict[int, list] = {}
     for b in batches:
         kind = b.column(1).to_numpy()
         docs = b.filter(pa.array(kind == 0))
         if docs.num_rows:
-            yield pa.RecordBatch.from_arrays(docs.columns[1:], ["kind", "doc_id", "n", "fp", "tokens", "lists"])
+            yield pa.RecordBatch.from_arrays(docs.columns[1:], names)
         for x in b.filter(pa.array(kind == 1)).to_pylist():
             held.setdefault(x["bucket"], []).append((x["tokens"], x["lists"]))
     for bucket in list(held):
@@ -162,7 +166,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.r_[cut[1:], len(fp)] if len(cut) else cut
         for i in range(0, len(cut), 8192):
             a, z = cut[i : i + 8192], end[i : i + 8192]
-            yield out([1] * len(a), [0] * len(a), n[a], fp[a], [tok[x:y].tobytes() for x, y in zip(a, z, strict=True)], [df[x:y].tobytes() for x, y in zip(a, z, strict=True)])
+            yield out(n[a], fp[a], [tok[x:y].tobytes() for x, y in zip(a, z, strict=True)], [df[x:y].tobytes() for x, y in zip(a, z, strict=True)])
 
 
 def _survivors(num: int, den: int):
@@ -263,12 +267,12 @@ def _search(num: int, den: int):
 
 
 def near_duplicates(docs: DataFrame, *, k: int = K, num: int = NUM, den: int = DEN, block: int = 2000) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one a row of ``docs``; see the module's text."""
+    """Rows (doc_id, th, n_shingles, component_id), one a row of ``docs``; th is the text's hash. See the module's text."""
     spark = docs.sparkSession
-    buckets = max(64, C.parts(spark))
-    posted = docs.select("doc_id", "text").mapInArrow(_post(k, buckets), "bucket int, " + OUT)
+    buckets = max(16, C.parts(spark))
+    posted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(_post(k, buckets), "bucket int, " + OUT)
     merged = C.materialize(posted.repartition(buckets, "bucket").mapInArrow(_merge, OUT), "lists")
-    sets = merged.where("kind = 0").select("doc_id", "n", "fp")
+    sets = merged.where("kind = 0").select("doc_id", "th", "n", "fp")
     # both lists are collected in one aggregate, so their orders agree
     shared = merged.where("kind = 1").groupBy("fp").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "lists")).alias("x"))
     shared = shared.select("fp", "n", F.col("x.tokens").alias("tokens"), F.col("x.lists").alias("lists"))
@@ -284,17 +288,17 @@ def near_duplicates(docs: DataFrame, *, k: int = K, num: int = NUM, den: int = D
     work = placed.join(alive, "fp").repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = work.select("root", "i", "j", "part", "fp", "n", "short", "tokens").mapInArrow(_search(num, den), "a long, b long")
     linked = C.components(links, "links").withColumnRenamed("node", "fp")
-    keyed = C.materialize(sets.join(linked, "fp", "left").select("doc_id", "n", F.coalesce("root", "fp").alias("key")), "keyed")
+    keyed = C.materialize(sets.join(linked, "fp", "left").select("doc_id", "th", "n", F.coalesce("root", "fp").alias("key")), "keyed")
     least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
-    return keyed.join(least, "key").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return keyed.join(least, "key").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """Documents without their near duplicates: of each component the row of the smallest doc_id stays (documents without a doc_id stay)."""
+    """Documents without their near duplicates: of each component the rows of the smallest doc_id stay, and rows without a doc_id."""
     found = near_duplicates(docs.where("doc_id is not null"), **kw)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(C.table(spark, sf_dir, "documents"))
+    return near_duplicates(C.table(spark, sf_dir, "documents")).drop("th")
