@@ -140,7 +140,7 @@ def fillings(gap: int, counts: np.ndarray, wide: int = 4, nodes: int = 256) -> l
     return kept or [()]
 
 
-def bin_completion(counts: dict[int, int], size: int, incumbent: list[Pattern], nodes: int = 20_000) -> list[Pattern]:
+def bin_completion(counts: dict[int, int], size: int, incumbent: list[Pattern], nodes: int = 6_000) -> list[Pattern]:
     """The incumbent, or a better packing found by depth-first search within ``nodes`` steps."""
     best, bins = incumbent, sum(n for n, _ in incumbent)
     total = sum(k * n for k, n in counts.items())
