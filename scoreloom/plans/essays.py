@@ -15,6 +15,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores, dealt out for work that is heavy per row; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def gold_score(trait: str):
     a, b, m, step = GOLD[trait]
     return 1.0 + ((F.col("doc_id") * a + b) % m) * F.lit(step)
@@ -26,9 +32,10 @@ def source_score(trait: str, source: str):
     return F.least(F.greatest(gold_score(trait) + noise, F.lit(1.0)), F.lit(5.0))
 
 
-def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def essays(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """ordinal, id, document_id, prompt_num, cohort, essay, and the struct gold."""
-    d = read(spark, sf_dir, "documents")
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    d = spread(d) if heavy else d
     return d.select(
         F.col("doc_id"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("W"), F.col("doc_id").cast("string")).alias("document_id"),
         F.col("lang").alias("prompt_num"), F.col("source").alias("cohort"), F.col("text").alias("essay"), F.struct(*[gold_score(t).alias(t) for t in GOLD]).alias("gold"),

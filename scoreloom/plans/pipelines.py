@@ -33,7 +33,7 @@ GRID_SQL = "SELECT s::INT AS seed, f::INT AS fold, CASE WHEN (s = 42 AND f = 0)
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated rationales that are grounded, against the promotion floors."""
-    led = R.ledger(essays(spark, sf_dir))
+    led = R.ledger(essays(spark, sf_dir, heavy=True))
     own = led.withColumn("x", R.rationales(F.col("ledger"), {t: F.col("gold")[t] for t in TRAITS}))
     g = own.select(R.grounding(F.col("x"), F.col("essay"), F.col("ledger")).alias("g")).select(F.col("g.accepted").alias("accepted"))
     return rounded(TR.promotable(g))
