@@ -274,5 +274,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    docs = C.documents(spark, sf_dir)
     return score(docs, train(docs, C.table(spark, sf_dir, "labels")))

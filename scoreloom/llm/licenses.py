@@ -174,4 +174,4 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, thre
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(C.table(spark, sf_dir, "documents"))
+    return scan(C.documents(spark, sf_dir))

@@ -239,4 +239,4 @@ def pack(docs: DataFrame, *, size: int = SIZE, end: int = END, vocabulary: str =
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(C.table(spark, sf_dir, "documents"))
+    return pack(C.documents(spark, sf_dir))

@@ -176,4 +176,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(C.table(spark, sf_dir, "documents"))
+    return rules(C.documents(spark, sf_dir))

@@ -223,4 +223,4 @@ def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, limit: int =
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(C.table(spark, sf_dir, "documents"))
+    return count_tokens(C.documents(spark, sf_dir))
