@@ -34,8 +34,6 @@ from .common import U64
 
 TAU, LEAST, BLOCK = 2, 20, 2000
 LOW48 = U64((1 << 48) - 1)
-#: Characters that make no word.
-BLANK = [9, 10, 11, 12, 13, 32]
 
 
 class Spans:
@@ -57,7 +55,7 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lines(codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, rows and line numbers (from 0, counting all) of lines with a word."""
+    """Starts, ends, rows and line numbers (from 0, counting all) of lines with a word (more than U+0009..U+000D and spaces)."""
     feeds = np.flatnonzero(codes == 10)
     feed_row = np.searchsorted(off, feeds, "right") - 1
     starts = np.concatenate([off[:-1], feeds + 1])
@@ -70,7 +68,8 @@ def lines(codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     last = np.r_[rows[1:] != rows[:-1], True]
     ends = np.where(last, off[1:][rows], nxt)
     number = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    inked = np.r_[0, np.cumsum(~np.isin(codes, BLANK))]
+    inked = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(((codes < 9) | (codes > 13)) & (codes != 32), out=inked[1:])
     ok = inked[ends] > inked[starts]
     return starts[ok], ends[ok], rows[ok], number[ok]
 
@@ -321,7 +320,7 @@ def _verify(tau: int):
 
 def line_links(docs: DataFrame, *, tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """((h, root) classes of lines with links, (h, links) number of other texts within tau)."""
-    buckets = max(16, C.parts(docs.sparkSession))
+    buckets = max(16, 2 * C.parts(docs.sparkSession))
     met = docs.select("text").mapInArrow(_post(tau, least, buckets), "bucket int, lines binary, wide boolean, keys binary, who binary").repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long")
     blocks = C.materialize(C.components(met, "line-blocks"), "line-blocks")
     cuts = blocks.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
@@ -369,4 +368,4 @@ def drop_lines(docs: DataFrame, **kw) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_report(C.table(spark, sf_dir, "documents"))
+    return dedup_report(C.documents(spark, sf_dir))

@@ -269,7 +269,7 @@ def _search(num: int, den: int):
 def near_duplicates(docs: DataFrame, *, k: int = K, num: int = NUM, den: int = DEN, block: int = 2000) -> DataFrame:
     """Rows (doc_id, th, n_shingles, component_id), one a row of ``docs``; th is the text's hash. See the module's text."""
     spark = docs.sparkSession
-    buckets = max(16, C.parts(spark))
+    buckets = max(16, 2 * C.parts(spark))
     posted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(_post(k, buckets), "bucket int, " + OUT)
     merged = C.materialize(posted.repartition(buckets, "bucket").mapInArrow(_merge, OUT), "lists")
     sets = merged.where("kind = 0").select("doc_id", "th", "n", "fp")
@@ -301,4 +301,4 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(C.table(spark, sf_dir, "documents")).drop("th")
+    return near_duplicates(C.documents(spark, sf_dir)).drop("th")
