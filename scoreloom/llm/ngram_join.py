@@ -10,10 +10,13 @@ Documents are sets of five-word shingles (48-bit hashes); two link when
    ones; every partner must occur in one of the others, the short lists. Sets
    that meet in short lists, directly or over others, form a block.
 3. In a block each set searches the local index: short lists are merged to
-   counts, candidates under the size bound are probed in the long lists by
-   binary search until they reach the overlap or no longer can. Sets already
-   known to be in one component are not probed again. Blocks over ``block``
-   sets are cut, and each pair of cuts is searched by a task of its own.
+   counts; where candidates under the size bound are left that can still reach
+   the overlap, the long lists are counted too. Every candidate is verified, so
+   all links are found. Blocks over ``block`` sets are cut, and each pair of
+   cuts is searched by a task of its own.
+
+n_links of a row is the number of other texts that its text links with; texts of
+equal sets link too, copies of one text count once.
 
 Null or empty text, or text without words: no shingles, linked with nothing.
 Rows that repeat a doc_id are kept, each with its own result. Extra columns are
@@ -196,78 +199,108 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.repeat(fp[i : i + 512], short[i : i + 512]))], ["token", "fp"])
 
 
-def t_occurrence(sets: list[np.ndarray], short: np.ndarray, size: np.ndarray, side: np.ndarray, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
-    """Links (a forest of them) between sets, given in list order; ``side`` 1 against 0, or all against all where it is constant.
+def _bits(rows: np.ndarray, cols: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Bit matrix (words of 64 columns, rows), built in strips of 8192 columns; ``cols`` sorted."""
+    out = np.zeros((-(-width // 64), height), U64)
+    for x in range(0, width, 8192):
+        a, z = np.searchsorted(cols, (x, x + 8192))
+        strip = np.zeros((height, min(8192, 64 * len(out) - x)), bool)
+        strip[rows[a:z], cols[a:z] - x] = True
+        out[x // 64 : x // 64 + strip.shape[1] // 64] = np.packbits(strip, axis=1).view(U64).T
+    return out
+
 
-    The index holds the sets of side 0 (all, if constant). A query merges its
-    short lists, bounds candidates by size, and probes its long lists in each
-    candidate's sorted tokens.
+def t_occurrence(sets: list[np.ndarray], short: np.ndarray, size: np.ndarray, side: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """All links, rows (query, partner), between sets given in list order; ``side`` 1 against 0, or all against all where it is constant.
+
+    The index holds the sets of side 0 (all, if constant). A query counts its
+    partners in its short lists, bounds them by size, and counts the long lists
+    where any is left. Lists of over 1/32 of the index are columns of bits.
     """
     both = bool((side != side[0]).any())
     index = np.flatnonzero(side == 0) if both else np.arange(len(sets))
     query = np.flatnonzero(side == 1) if both else np.arange(len(sets))
     tok = np.concatenate([sets[i] for i in index])
-    who = np.repeat(index, [len(sets[i]) for i in index])
+    who = np.repeat(np.arange(len(index)), [len(sets[i]) for i in index])
     order = np.argsort(tok, kind="stable")
-    tok, who = tok[order], who[order]
-    sorted_sets: dict[int, np.ndarray] = {}
-    forest, links = C.Forest(len(sets)), []
-    root = np.arange(len(sets))  # refreshed as components merge
+    who = who[order]
+    vocab, start, length = np.unique(tok[order], return_index=True, return_counts=True)
+    heavy = length * 32 > len(index)
+    slot = np.cumsum(heavy) - 1
+    dense = np.repeat(heavy, length)
+    bits = _bits(who[dense], np.repeat(slot, length)[dense], int(heavy.sum()), len(index))
+
+    def holders(tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each set of the index holds."""
+        p = np.searchsorted(vocab, tokens)
+        p[p == len(vocab)] = 0
+        p = p[vocab[p] == tokens]
+        light, few = p[~heavy[p]], length[p[~heavy[p]]]
+        got = np.bincount(who[np.repeat(start[light] - np.r_[0, np.cumsum(few)[:-1]], few) + np.arange(few.sum())], minlength=len(index)) if len(light) else np.zeros(len(index), np.int64)
+        if len(light) < len(p):
+            mask = np.zeros(64 * len(bits), bool)
+            mask[slot[p[heavy[p]]]] = True
+            mask = np.packbits(mask).view(U64)
+            used = np.flatnonzero(mask)
+            got = got + np.bitwise_count(bits[used] & mask[used, None]).sum(0, dtype=np.int64)
+        return got
+
+    links = [np.zeros((0, 2), np.int64)]
+    sizes = size[index].astype(np.int64)
     for q in query.tolist():
-        mine = sets[q]
-        lists = mine[: short[q]]
-        lo, hi = np.searchsorted(tok, lists), np.searchsorted(tok, lists, "right")
-        n = hi - lo
-        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        count = np.bincount(who[at], minlength=len(sets))
-        cand = np.flatnonzero(count)
-        cand = cand[(cand != q) if both else (cand < q)]
-        cand = cand[(den * size[cand] >= num * size[q]) & (den * size[q] >= num * size[cand])]
-        cand = cand[root[cand] != root[q]]
-        cand = cand[np.argsort(-count[cand], kind="stable")]
-        rest = mine[short[q] :]
-        for c in cand.tolist():
-            if root[c] == root[q]:
-                continue
-            need = -(-num * (int(size[q]) + int(size[c])) // (num + den))
-            if count[c] + len(rest) < need:
-                continue
-            if c not in sorted_sets:
-                sorted_sets[c] = np.sort(sets[c])
-            theirs = sorted_sets[c]
-            p = np.searchsorted(theirs, rest)
-            p[p == len(theirs)] = 0
-            if count[c] + int((theirs[p] == rest).sum()) >= need:
-                forest.join(q, c)
-                links.append((q, c))
-                a, b = root[q], root[c]
-                root[root == max(a, b)] = min(a, b)
-    return links
+        count = holders(sets[q][: short[q]])
+        mine = int(size[q])
+        able = (count > 0) & (den * sizes >= num * mine) & (den * mine >= num * sizes)
+        if not both:
+            able[q:] = False
+        need = -(-num * (mine + sizes) // (num + den))
+        rest = sets[q][short[q] :]
+        able &= count + len(rest) >= need
+        if not able.any():
+            continue
+        found = index[able & (count + holders(rest) >= need)]
+        links.append(np.stack([np.full(len(found), q), found], 1))
+    return np.concatenate(links)
+
+
+def spanning(links: np.ndarray, n: int) -> np.ndarray:
+    """Those of the links, sorted by query, that join components not joined before."""
+    root, keep = np.arange(n), [np.zeros(0, np.int64)]
+    first = np.flatnonzero(np.diff(links[:, 0], prepend=-1))
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(links)], strict=True) if len(links) else ():
+        own = root[links[a, 0]]
+        met, at = np.unique(root[links[a:z, 1]], return_index=True)
+        at = at[met != own]
+        if len(at):
+            keep.append(a + at)
+            root[np.isin(root, np.r_[met, own])] = min(met[0], own)
+    return links[np.concatenate(keep)]
 
 
 def _search(num: int, den: int):
+    """Per unit of work: a spanning forest of its links (n null), and the linked texts of each set (b null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        b: list[int] = []
         for g in C.runs(batches, ["root", "i", "j"]):
             if g.num_rows < 2:
                 continue
-            fp, part, i, j = (g.column(c).to_numpy() for c in ("fp", "part", "i", "j"))
+            fp, part, i, j, texts = (g.column(c).to_numpy() for c in ("fp", "part", "i", "j", "texts"))
             sets = [np.frombuffer(x.as_py(), U64) for x in g.column("tokens")]
             side = (part == j[0]).astype(int) if i[0] != j[0] else np.zeros(len(fp), int)
-            for x, y in t_occurrence(sets, g.column("short").to_numpy(), g.column("n").to_numpy(), side, num, den):
-                a.append(fp[x])
-                b.append(fp[y])
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            links = t_occurrence(sets, g.column("short").to_numpy(), g.column("n").to_numpy(), side, num, den)
+            if not len(links):
+                continue
+            x, y = links.T
+            degree = (np.bincount(x, texts[y], len(fp)) + np.bincount(y, texts[x], len(fp))).astype(np.int64)
+            who = np.flatnonzero(degree)
+            x, y = spanning(links, len(fp)).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[fp[x], fp[who]]), pa.array([*fp[y].tolist(), *[None] * len(who)], pa.int64()), pa.array([*[None] * len(x), *degree[who].tolist()], pa.int64())], ["a", "b", "n"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, *, k: int = K, num: int = NUM, den: int = DEN, block: int = 2000) -> DataFrame:
-    """Rows (doc_id, th, n_shingles, component_id), one a row of ``docs``; th is the text's hash. See the module's text."""
+    """Rows (doc_id, th, n_shingles, component_id, n_links), one a row of ``docs``; th is the text's hash. See the module's text."""
     spark = docs.sparkSession
     buckets = max(64, C.parts(spark))
     posted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(_post(k, buckets), "bucket int, " + OUT)
@@ -285,12 +318,17 @@ def near_duplicates(docs: DataFrame, *, k: int = K, num: int = NUM, den: int = D
     placed = blocks.join(cuts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     placed = placed.select(F.col("node").alias("fp"), "root", "part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
     placed = placed.select("fp", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    work = placed.join(alive, "fp").repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = work.select("root", "i", "j", "part", "fp", "n", "short", "tokens").mapInArrow(_search(num, den), "a long, b long")
-    linked = C.components(links, "links").withColumnRenamed("node", "fp")
-    keyed = C.materialize(sets.join(linked, "fp", "left").select("doc_id", "th", "n", F.coalesce("root", "fp").alias("key")), "keyed")
+    # sets that several texts share, as by case or spacing: a link to one is a link to each of its texts
+    texts = sets.where("n > 0").groupBy("fp").agg(F.countDistinct("th").alias("texts")).where("texts > 1")
+    work = placed.join(alive, "fp").join(texts, "fp", "left").withColumn("texts", F.coalesce("texts", F.lit(1))).repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    found = C.materialize(work.select("root", "i", "j", "part", "fp", "n", "short", "texts", "tokens").mapInArrow(_search(num, den), "a long, b long, n long"), "found")
+    linked = C.components(found.where("b is not null").select("a", "b"), "links").withColumnRenamed("node", "fp")
+    links = found.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("links"))
+    others = F.coalesce("links", F.lit(0)) + F.coalesce("texts", F.lit(1)) - 1
+    keyed = sets.join(linked, "fp", "left").join(links, "fp", "left").join(texts, "fp", "left")
+    keyed = C.materialize(keyed.select("doc_id", "th", "n", F.coalesce("root", "fp").alias("key"), others.cast("long").alias("n_links")), "keyed")
     least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
-    return keyed.join(least, "key").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return keyed.join(least, "key").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:

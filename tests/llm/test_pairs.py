@@ -70,6 +70,35 @@ def test_jaccard_families_in_cut_blocks(spark, block):
     assert got == components({i: shingle_set(t) for i, t in enumerate(texts)}, jaccard_linked)
 
 
+@pytest.mark.parametrize("block", [7, 2000])
+def test_jaccard_links(spark, block):
+    texts = family(25)
+    texts += [texts[30].upper(), texts[30], texts[0], "one two", "One  two", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs, block=block).collect()}
+    sets = {t: shingle_set(t) for t in texts}
+    want = {t: sum(u != t and jaccard_linked(sets[t], s) for u, s in sets.items()) for t in sets}
+    assert got == {i: want[t] for i, t in enumerate(texts)}
+    assert max(want.values()) > 25
+
+
+def test_t_occurrence_finds_every_link():
+    rng = np.random.default_rng(2)
+    core = [rng.integers(0, 1 << 40, 60) for _ in range(4)]
+    sets = [np.unique(np.r_[rng.choice(core[i % 4], 56, replace=False), rng.integers(0, 1 << 40, rng.integers(0, 12))]).astype(np.uint64) for i in range(160)]
+    df = collections.Counter(x for s in sets for x in s.tolist())
+    ordered = [s[np.lexsort((s, [df[x] for x in s.tolist()]))] for s in sets]
+    size = np.array([len(s) for s in sets])
+    short = size - -(-75 * size // 100) + 1
+    py = [set(s.tolist()) for s in sets]
+    for side in (np.zeros(160, int), rng.integers(0, 2, 160)):
+        links = ngram_join.t_occurrence(ordered, short, size, side)
+        pairs = {(min(a, b), max(a, b)) for a, b in links.tolist()}
+        across = bool(side.any())
+        assert len(pairs) == len(links) > 160
+        assert pairs == {(a, b) for a in range(160) for b in range(a + 1, 160) if jaccard_linked(py[a], py[b]) and (not across or side[a] != side[b])}
+
+
 def test_jaccard_rows(spark):
     assert ngram_join.near_duplicates(nothing(spark)).count() == 0
     d = repeated(spark)
