@@ -248,6 +248,31 @@ def test_licences(spark):
     assert licenses.scan(nothing(spark)).count() == 0
 
 
+def test_licences_inside_passages(spark):
+    header = licenses.TEMPLATES["Apache-2.0"][2]
+    inside = prose(60, 7) + " This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. " + prose(60, 8)
+    cases = [
+        ("Copyright (c) 2020 Jane Doe. Released under the MIT License.", "MIT"), ("Copyright 2020 Foo Inc. All rights reserved.", "all-rights-reserved"),
+        ("Copyright 2020 Foo Inc. " + header, "Apache-2.0"), (inside, "AGPL-3.0"), *((prose(50, 9) + "\n" + licenses._text(n) + "\n" + prose(90, 4), w) for n, w in (("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"))),
+        (prose(300, 5), None),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in licenses.scan(d).collect():
+        text, want = cases[r.doc_id]
+        assert want in [x["name"] for x in r.licenses] if want else not r.licenses
+        for x in r.licenses:
+            part = bigram_set(text.encode()[x["first"] : x["last"]].decode())
+            assert x["dice"] in [2 * len(part & b) / (len(part) + len(b)) for b in map(bigram_set, licenses.TEMPLATES[x["name"]])]
+
+
+def test_dice_of_runs():
+    rng = np.random.default_rng(4)
+    for length in (1, 3, 9, 40):
+        g = rng.integers(0, 12, 40).astype(np.uint64)
+        want = [2 * len({x for x in g[i : i + length].tolist() if x < 5}) / (len(set(g[i : i + length].tolist())) + 5) for i in range(40 - length + 1)]
+        assert licenses.dice_of_runs(g, g < 5, length, 5).tolist() == want
+
+
 # ---------------------------------------------------------------------- chat
 
 
