@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import let
+
 WORD = r"(?U)\b\w\w+\b"
 
 
 def word_grams(text: Column, low: int = 1, high: int = 2) -> Column:
     """Lower-cased words of two or more characters, as n-grams joined by a space."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    parts = []
-    for n in range(low, high + 1):
-        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(w if n == 1 else F.transform(at, _gram(w, n)))
-    return F.concat(*parts)
+
+    def grams(w: Column) -> Column:
+        parts = []
+        for n in range(low, high + 1):
+            at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+            parts.append(w if n == 1 else F.transform(at, _gram(w, n)))
+        return F.concat(*parts)
+
+    # bound once: a lambda would split the text again for every n-gram
+    return let(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), grams)
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:

@@ -174,6 +174,16 @@ c AS (SELECT item_id, term, count(*) AS n FROM t GROUP BY ALL), d AS (SELECT ter
 SELECT item_id, term, {r('w / sqrt(sum(w * w) OVER (PARTITION BY item_id))')} AS weight FROM x"""
 
 
+def document_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF of whole documents: weights of every term."""
+    d = read(spark, sf_dir, "documents")
+    c = TE.counts(d, "doc_id", TE.word_grams(F.col("text"), 1, 2))
+    return rounded(TE.tfidf(c, TE.vocabulary(c), F.lit(d.count()), "doc_id"))
+
+
+DOCUMENT_TFIDF_SQL = TFIDF_SQL.replace("benchmark", "documents").replace("item_id", "doc_id")
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as arrays of messages: counts and a digest of each."""
     c = read(spark, sf_dir, "conversations")
@@ -197,5 +207,6 @@ QUERIES = {
     "soft_rank_targets": (soft_ranks, RANK_SQL),
     "term_frequencies": (term_table, TERM_SQL),
     "tfidf_weights": (tfidf, TFIDF_SQL),
+    "document_tfidf": (document_tfidf, DOCUMENT_TFIDF_SQL),
     "chat_messages": (prompts, PROMPT_SQL),
 }

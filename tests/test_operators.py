@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom import plans
 from scoreloom.functions import hashing as H
 from scoreloom.functions import text as T
 from scoreloom.functions.numbers import TRAITS, correlation, ratio, unit
@@ -260,6 +261,14 @@ def test_exact_bootstrap(spark):
     assert len(got) == 20 and abs(got[0].d_rmse_content - np.sqrt(np.mean((a[pick, 0] - g[pick, 0]) ** 2))) < 1e-12
 
 
+def test_document_tfidf_covers_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet").where(F.regexp_like("text", F.lit(r"(?U)\w\w")))
+    got = plans.queries()["document_tfidf"](spark, sf).groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("one"))
+    assert got.count() == d.count() > 0
+    assert got.where("abs(one - 1) > 0.001").count() == 0
+
+
 def test_judgements(spark):
     d = spark.createDataFrame([("A", "B"), ("B", "A"), ("TIE", "TIE"), ("A", "A")], "f string, b string")
     got = d.select(comparison.reconciled(F.col("f"), comparison.unswapped(F.col("b"), F.lit(True))).alias("x")).select("x.*").collect()
