@@ -70,10 +70,7 @@ def weights(spark, a):
 
 def bootstrap(spark, a):
     x, y = (s.split("=")[0] for s in a.source[:2])
-    d = _long(spark, a)
-    e = {"a": (F.col(x) - F.col("gold")) ** 2, "b": (F.col(y) - F.col("gold")) ** 2}
-    got = comparison.hash_bootstrap(d, stratum="prompt_num", order="id", value=e, resamples=a.n, seed=a.seed)
-    return comparison.summarize(got.select((F.sqrt(F.col("a") / F.col("n")) - F.sqrt(F.col("b") / F.col("n"))).alias("d")), "d", 0.0)
+    return comparison.bootstrap_report(_long(spark, a), "id", x, y, resamples=a.n, seed=a.seed)
 
 
 def knn(spark, a):
@@ -90,6 +87,7 @@ COMMANDS = {
     "evaluate": (evaluate, ["gold", "predictions", "contract"]), "audit": (audit, ["gold"]), "folds": (make_folds, ["gold", "n", "bins", "seed"]), "lopo": (lopo, ["gold"]), "calibrate": (calibrate, ["gold", "folds", "source"]),
     "stack": (stack, ["gold", "folds", "source"]), "weights": (weights, ["gold", "folds", "source"]), "bootstrap": (bootstrap, ["gold", "folds", "source", "n", "seed"]), "knn": (knn, ["queries", "bank", "n"]), "rationales": (rationales, ["gold"]),
 }
+RESAMPLES = 2000
 OPTIONS = {"n": {"type": int, "default": 5}, "bins": {"type": int, "default": 5}, "seed": {"type": int, "default": 42}, "source": {"action": "append", "required": True, "help": "name=path, repeatable"}, "contract": {"default": "canonical", "choices": ["canonical", "final"]}}
 
 
@@ -100,6 +98,8 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         for o in options:
             s.add_argument(f"--{o}", **OPTIONS.get(o, {"required": True}))
+        if name == "bootstrap":
+            s.set_defaults(n=RESAMPLES)
         s.add_argument("--out", required=True, help="a new folder; Parquet")
     a = p.parse_args(argv)
     control.require_new(out=a.out)

@@ -33,14 +33,32 @@ def hash_bootstrap(df: DataFrame, *, stratum: str, order: str, value: dict[str,
     return hits.join(ranked, ["s", "k"]).groupBy("iteration").agg(F.sum("times").alias("n"), *[F.sum(F.col("times") * F.col(n)).alias(n) for n in value])
 
 
-def summarize(deltas: DataFrame, column: str, point: float | Column, *, confidence: float = 0.95, higher_is_better: bool = False) -> DataFrame:
-    """One row: point, mean, sd, interval, and the probability of being better; ties count half."""
+def summarize(deltas: DataFrame, column: str, point: float | Column, *, by: tuple[str, ...] = (), confidence: float = 0.95, higher_is_better: bool | Column = False) -> DataFrame:
+    """One row (of each ``by``): point, mean, sd, interval, and the probability of being better; ties count half."""
     d = F.col(column)
     tail = (1 - confidence) / 2
-    better = d > 0 if higher_is_better else d < 0
+    better = F.when(F.lit(higher_is_better) if isinstance(higher_is_better, bool) else higher_is_better, d > 0).otherwise(d < 0)
     lo_hi = F.percentile(d, F.array(F.lit(tail), F.lit(1 - tail)))
-    got = deltas.agg(F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"), lo_hi.alias("q"), F.avg(F.when(better, 1.0).when(d == 0, 0.5).otherwise(0.0)).alias("p_better"))
-    return got.select((F.lit(point) if isinstance(point, float) else point).alias("point"), "mean", "sd", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "p_better")
+    got = deltas.groupBy(*by).agg(F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"), lo_hi.alias("q"), F.avg(F.when(better, 1.0).when(d == 0, 0.5).otherwise(0.0)).alias("p_better"))
+    return got.select(*by, (F.lit(point) if isinstance(point, float) else point).alias("point"), "mean", "sd", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "p_better")
+
+
+METRICS = tuple(f"{m}_{t}" for m in ("rmse", "spearman") for t in (*TRAITS, "macro"))
+
+
+def spearman(x: np.ndarray, y: np.ndarray) -> float:
+    if len(x) < 2 or np.ptp(x) == 0 or np.ptp(y) == 0:
+        return 0.0
+    return float(np.corrcoef(pd.Series(x).rank().to_numpy(), pd.Series(y).rank().to_numpy())[0, 1])
+
+
+def differences(gold: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[float]:
+    """a minus b in each of ``METRICS``; macro is the mean over traits."""
+    out: list[float] = []
+    for f in (lambda p, k: math.sqrt(np.mean((p[:, k] - gold[:, k]) ** 2)), lambda p, k: spearman(gold[:, k], p[:, k])):
+        d = [f(a, k) - f(b, k) for k in range(len(TRAITS))]
+        out += [*d, sum(d) / len(d)]
+    return out
 
 
 def exact_bootstrap(gold: np.ndarray, a: np.ndarray, b: np.ndarray, strata: list, df_spark, *, resamples: int = 2000, seed: int = 42) -> DataFrame:
@@ -49,16 +67,7 @@ def exact_bootstrap(gold: np.ndarray, a: np.ndarray, b: np.ndarray, strata: list
     For reports of bounded size: the three matrices go to every task. The hash form above has no such bound.
     """
     groups = [np.flatnonzero(np.array(strata, object) == s) for s in dict.fromkeys(strata)]
-
-    def ranks(x: np.ndarray) -> np.ndarray:
-        return pd.Series(x).rank().to_numpy()
-
-    def spearman(x: np.ndarray, y: np.ndarray) -> float:
-        if len(x) < 2 or np.ptp(x) == 0 or np.ptp(y) == 0:
-            return 0.0
-        return float(np.corrcoef(ranks(x), ranks(y))[0, 1])
-
-    names = [f"d_{m}_{t}" for m in ("rmse", "spearman") for t in (*TRAITS, "macro")]
+    names = [f"d_{n}" for n in METRICS]
 
     def run(batches):
         for pdf in batches:
@@ -68,16 +77,26 @@ def exact_bootstrap(gold: np.ndarray, a: np.ndarray, b: np.ndarray, strata: list
                 pick = np.concatenate([g[rng.integers(0, len(g), len(g))] for g in groups])
                 if i not in want:
                     continue
-                out = []
-                for f in (lambda p, k: math.sqrt(np.mean((p[pick, k] - gold[pick, k]) ** 2)), lambda p, k: spearman(gold[pick, k], p[pick, k])):
-                    d = [f(a, k) - f(b, k) for k in range(len(TRAITS))]
-                    out += [*d, sum(d) / len(d)]
-                rows.append((i, *out))
+                rows.append((i, *differences(gold[pick], a[pick], b[pick])))
             yield pd.DataFrame(rows, columns=["iteration", *names])
 
     return df_spark.range(resamples).mapInPandas(run, "iteration long, " + ", ".join(f"{n} double" for n in names))
 
 
+def bootstrap_report(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """A row per metric: the observed difference a minus b, mean, sd, interval and probability of being better.
+
+    ``scores``: key, stratum, trait, gold, a and b, a row per key and trait. They are collected; see exact_bootstrap.
+    """
+    wide = scores.select(key, stratum, "trait", "gold", a, b).toPandas().pivot(index=[key, stratum], columns="trait", values=["gold", a, b]).sort_index()
+    gold, x, y = (wide[c][list(TRAITS)].to_numpy(float) for c in ("gold", a, b))
+    point = dict(zip(METRICS, differences(gold, x, y), strict=True))
+    d = exact_bootstrap(gold, x, y, wide.index.get_level_values(stratum).tolist(), scores.sparkSession, resamples=resamples, seed=seed)
+    each = d.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"d_{n}").alias("delta")) for n in METRICS])).alias("x")).select("x.*")
+    at = F.element_at(F.create_map(*[F.lit(v) for kv in point.items() for v in kv]), F.col("metric"))
+    return summarize(each, "delta", at, by=("metric",), higher_is_better=F.startswith(F.col("metric"), F.lit("spearman")))
+
+
 # --------------------------------------------------------------------- gates
 
 

@@ -92,6 +92,11 @@ g AS (SELECT i, sqrt(avg(a)) - sqrt(avg(b)) AS delta FROM h JOIN d USING (s, k)
 SELECT 0.0::DOUBLE AS point, {r('avg(delta)')} AS mean, {r('stddev_samp(delta)')} AS sd, {r('quantile_cont(delta, 0.025)')} AS low, {r('quantile_cont(delta, 0.975)')} AS high, {r('avg(CASE WHEN delta < 0 THEN 1.0 WHEN delta = 0 THEN 0.5 ELSE 0 END)')} AS p_better FROM g"""
 
 
+def bootstrap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources alpha and beta in all traits and metrics over 2000 paired stratified resamples."""
+    return rounded(CO.bootstrap_report(sources_long(spark, sf_dir), "doc_id", "alpha", "beta"))
+
+
 def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two presentation orders per review, reconciled and tallied against the hidden key."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("R"), F.col("doc_id").cast("string")).alias("review_id"))
@@ -200,6 +205,7 @@ QUERIES = {
     "embedding_check": (embedding_check, "SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS wrong_size, 0::BIGINT AS not_finite, count(*) FILTER (list_sum(list_transform(embedding, lambda x: x * x)) = 0) AS zero_norm, count(*) - count(DISTINCT vec_id) AS repeated FROM embeddings"),
     "prediction_round_trip": (serialized, SERIAL_SQL),
     "paired_bootstrap": (bootstrap, BOOT_SQL),
+    "bootstrap_report": (bootstrap_report, None),
     "judge_tally": (judge, JUDGE_SQL),
     "attempt_seeds": (seeds, "SELECT 'R' || doc_id AS review_id, ('0x' || substr(sha256('2026|R' || doc_id || '|1'), 1, 8))::BIGINT & 2147483647 AS seed FROM documents"),
     "epoch_policy": (epochs, EPOCH_SQL),

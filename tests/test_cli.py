@@ -25,3 +25,19 @@ def test_commands(spark, tmp_path):
     assert spark.read.parquet(at("rationales")).where("grounding.accepted").count() == 24
     with pytest.raises(Exception):
         cli.main(["lopo", "--gold", at("gold.jsonl"), "--out", at("stack")])
+
+
+def test_bootstrap_takes_2000_resamples_of_every_metric(monkeypatch, tmp_path):
+    asked = []
+    monkeypatch.setattr(cli, "session", lambda: None)
+    monkeypatch.setattr(cli, "_long", lambda spark, a: None)
+
+    def report(scores, key, a, b, *, resamples, seed):
+        asked.append((a, b, resamples, seed))
+        raise StopIteration
+
+    monkeypatch.setattr(cli.comparison, "bootstrap_report", report)
+    for more in ([], ["--n", "7"]):
+        with pytest.raises(StopIteration):
+            cli.main(["bootstrap", "--gold", "g", "--folds", "f", "--source", "a=x", "--source", "b=y", *more, "--out", str(tmp_path / "new")])
+    assert asked == [("a", "b", 2000, 42), ("a", "b", 7, 42)]

@@ -1,6 +1,7 @@
 """Exact values, invariants and refusals of the operators that SQL does not cover."""
 
 import hashlib
+import inspect
 import json
 import math
 
@@ -9,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom import plans
+from scoreloom import cli, plans
 from scoreloom.functions import hashing as H
 from scoreloom.functions import text as T
 from scoreloom.functions.numbers import TRAITS, correlation, ratio, unit
@@ -261,6 +262,23 @@ def test_exact_bootstrap(spark):
     assert len(got) == 20 and abs(got[0].d_rmse_content - np.sqrt(np.mean((a[pick, 0] - g[pick, 0]) ** 2))) < 1e-12
 
 
+def test_bootstrap_report(spark):
+    from scoreloom.plans.essays import sources_long
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.metric: r for r in plans.queries()["bootstrap_report"](spark, sf).collect()}
+    assert set(got) == {f"{m}_{t}" for m in ("rmse", "spearman") for t in (*comparison.TRAITS, "macro")}
+    d = sources_long(spark, sf).toPandas()
+    for t in comparison.TRAITS:
+        x = d[d.trait == t]
+        e = {s: np.sqrt(((x[s] - x.gold) ** 2).mean()) for s in ("alpha", "beta")}
+        r = {s: x[s].rank().corr(x.gold.rank()) for s in ("alpha", "beta")}
+        for name, m in (("rmse", e), ("spearman", r)):
+            row = got[f"{name}_{t}"]
+            assert abs(row.point - (m["alpha"] - m["beta"])) < 1e-5 and row.low < row.point < row.high
+    assert inspect.signature(comparison.bootstrap_report).parameters["resamples"].default == cli.RESAMPLES == 2000
+
+
 def test_document_tfidf_covers_documents(spark):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet").where(F.regexp_like("text", F.lit(r"(?U)\w\w")))
