@@ -1,8 +1,11 @@
-"""Session defaults."""
+"""Session defaults and tables between steps."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +17,23 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in (own | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a folder of its own; a cluster is an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    own = spark.conf.get("scoreloom.shared.dir", None)
+    if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = "file://" + tempfile.mkdtemp(prefix="scoreloom-")
+        spark.conf.set("scoreloom.shared.dir", own)
+    return own
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/scoreloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
