@@ -7,8 +7,7 @@ made per word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -40,23 +41,87 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ shared tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    own = spark.conf.get("scoreloom.shared.dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="scoreloom-")
-        spark.conf.set("scoreloom.shared.dir", own)
-    return own
+def discard(table: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("scoreloom-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What workers keep between tasks, by the name of its user.
+CACHES: dict[str, dict] = {}
+
+
+def forget(keep: str | None) -> None:
+    """Drop what a worker kept for other stages than the user ``keep``."""
+    for name, cache in CACHES.items():
+        if name != keep:
+            cache.clear()
+
 
+def give_back() -> None:
+    """Return freed memory to the system; workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/scoreloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for workers that should hold no more than its own cache ``keep`` before it, and nothing else after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keep)
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str = "rows", share: int = 500, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (unique ``key``; ``rows`` tells how many rows of left have it) without a hot key in one task.
+
+    Keys that hold more than a ``share``-th of all rows are fewer than ``share``, so their side is broadcast;
+    no other key holds more than that.
+    """
+    most = right.agg((F.sum(rows) / share).cast("long")).first()[0] or 0
+    keys = [r[0] for r in right.where(F.col(rows) > most).select(key).collect()]  # fewer than ``share``
+    if not keys:
+        return left.join(right.drop(rows), key, how)
+    hot, mine = right.where(F.col(rows) > most).drop(rows), F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return left.where(mine).join(F.broadcast(hot), key).unionByName(left.where(~mine).join(right.drop(rows), key, how))
+
+
+def bloom(keys: DataFrame, bits: int = 26) -> np.ndarray:
+    """A Bloom filter of 2**bits bits, whatever the size of ``keys`` (one column of 64-bit hashes): two bits a key, gathered as bitmaps of 4 KiB."""
+    h, mask = F.col(keys.columns[0]), (1 << bits) - 1
+    place = F.explode(F.array(*[x.bitwiseAND(mask) + 1 for x in (h, F.shiftrightunsigned(h, bits))]))  # the functions number bits from 1
+    rows = keys.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m")).collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for b, m in rows:
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(m), np.uint8)
+    return out
+
+
+def in_bloom(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """False where a hash (int64) is surely none of the filter's keys."""
+    bits = len(filter_).bit_length() + 2
+    ok = np.ones(len(h), bool)
+    for x in (h.view(U64) & U64((1 << bits) - 1), (h.view(U64) >> U64(bits)) & U64((1 << bits) - 1)):
+        ok &= (filter_[(x >> U64(3)).astype(np.int64)] >> (x & U64(7)).astype(np.uint8)) & 1 > 0
+    return ok
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, th): each row of ``docs`` whole, so that no column of it clashes with others; th is its text's hash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("th"))
+
+
+def columns_of(docs: DataFrame, **new) -> list:
+    """The columns of ``docs`` out of ``rows_of``, some of them new."""
+    return [new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
 
 
 def parts(spark: SparkSession) -> int:
@@ -69,7 +134,7 @@ _pow = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i for i < n, modulo 2**64; kept up to 4 Mi entries."""
+    """P**i and P**-i for i < n, modulo 2**64; kept up to a Mi entries."""
     if len(_pow[0]) >= n:
         return _pow[0], _pow[1]
     got = []
@@ -77,7 +142,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         a = np.full(n, base, U64)
         a[0] = 1
         got.append(np.multiply.accumulate(a))
-    if n <= 1 << 22:
+    if n <= 1 << 20:
         _pow[:] = got
     return got[0], got[1]
 
@@ -113,7 +178,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray,
     return b, o - o[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], most: int = 1 << 21, name: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterable[pa.RecordBatch], most: int = 1 << 19, name: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) in runs of whole rows of about ``most`` bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -149,7 +214,7 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
     acc = np.zeros(n, U64)
     for i in range(k):
         part = np.zeros(n, U64)
-        part[: n - i] = hashes[i:] if i else hashes
+        part[: max(n - i, 0)] = hashes[i:]
         part[left <= i] = U64(0)
         acc = acc * U64(0xD6E8FEB86659FD93) + part
     whole = (left >= k) | ((count[row] < k) & (np.arange(n) == at[:-1][row]))
@@ -207,7 +272,7 @@ class Forest:
 def local_forest(edges: DataFrame) -> DataFrame:
     """Spanning forest of each partition's edges: same components, at most nodes - 1 edges a partition.
 
-    A task takes its edges in blocks of two million, so memory is bounded.
+    A task takes its edges in blocks of a quarter million, so memory is bounded.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +288,13 @@ def local_forest(edges: DataFrame) -> DataFrame:
             if x.num_rows:
                 held.append(np.stack([x.column(0).to_numpy(), x.column(1).to_numpy()], 1))
                 n += x.num_rows
-            if n >= 2_000_000:
+            if n >= 250_000:
                 yield flush(held)
                 held, n = [], 0
         if held:
             yield flush(held)
 
-    return edges.select("a", "b").mapInArrow(fold, "a long, b long")
+    return edges.select("a", "b").mapInArrow(lean(fold), "a long, b long")
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -252,12 +317,9 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         mins = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(mins, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = materialize(small.where("a <> b").distinct(), f"{label}-{i}")
+        old, now = now, materialize(small.where("a <> b").distinct(), f"{label}-{i}")
+        discard(old)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
-
-
-def arrow_map(df: DataFrame, cols: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.select(*cols).mapInArrow(fn, schema)

@@ -120,8 +120,8 @@ def contamination(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """Documents that hold no benchmark window."""
     _, hits = matches(docs, items, **kw)
-    gone = hits.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs.text) == F.col("gone_th")), "left_anti").select(*docs.columns)
+    gone = hits.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
+    return C.rows_of(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_anti").select(*C.columns_of(docs))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,20 +118,27 @@ def edit_within(codes: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarr
     """
     a, a_end, b, b_end = (x.astype(np.int64).copy() for x in (a, a_end, b, b_end))
     codes = np.concatenate([codes, np.array([0xFFFFFFFF], np.uint32)])
-    live = np.arange(len(a))
-    for step, at_a, at_b in ((1, a, b), (-1, a_end, b_end)):
-        live = np.flatnonzero((a < a_end) & (b < b_end))
+    out = np.abs((a_end - a) - (b_end - b)) <= tau
+    some = np.arange(16)
+    for back in (False, True):
+        live = np.flatnonzero(out & (a < a_end) & (b < b_end))
         while len(live):
-            x, y = at_a[live], at_b[live]
-            same = codes[x if step > 0 else x - 1] == codes[y if step > 0 else y - 1]
-            live = live[same]
-            at_a[live] += step
-            at_b[live] += step
-            live = live[(a[live] < a_end[live]) & (b[live] < b_end[live])]
+            x, y, room = a[live], b[live], np.minimum(a_end[live] - a[live], b_end[live] - b[live])
+            left, right = (a_end[live, None] - 1 - some, b_end[live, None] - 1 - some) if back else (x[:, None] + some, y[:, None] + some)
+            same = (codes[np.maximum(left, 0)] == codes[np.maximum(right, 0)]) if back else (codes[np.minimum(left, len(codes) - 1)] == codes[np.minimum(right, len(codes) - 1)])
+            same &= some < room[:, None]
+            n = np.where(same.all(1), 16, np.argmin(same, 1))
+            if back:
+                a_end[live] -= n
+                b_end[live] -= n
+            else:
+                a[live] += n
+                b[live] += n
+            live = live[(n == 16) & (room > 16)]
     m, n = a_end - a, b_end - b
-    out = np.abs(m - n) <= tau
-    out &= ~((np.minimum(m, n) == 0) & (np.maximum(m, n) > tau))
+    out &= (np.minimum(m, n) > 0) | (np.maximum(m, n) <= tau)
     todo = np.flatnonzero(out & (np.minimum(m, n) > 0))
+    out[todo] = False
     width = 2 * tau + 1
     full = (1 << width) - 1
     for i in range(0, len(todo), 8192):
@@ -139,56 +146,69 @@ def edit_within(codes: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarr
         m_, n_, a_, b_ = m[part], n[part], a[part], b[part]
         # row i of b against column i + d - tau of a; before the first row, e insertions reach diagonals tau..tau+e
         reach = [np.full(len(part), ((1 << (e + 1)) - 1) << tau & full, np.int64) for e in range(tau + 1)]
-        good = np.zeros(len(part), bool)
-        for row in range(int(n_.max())):
-            on = row < n_
+        row = 0
+        while len(part):
             eq = np.zeros(len(part), np.int64)
-            ch = codes[np.where(on, b_ + row, len(codes) - 1)]
+            ch = codes[b_ + row]
             for d in range(width):
                 col = row + d - tau
-                inside = on & (col >= 0) & (col < m_)
-                hit = inside & (codes[np.where(inside, a_ + col, len(codes) - 1)] == ch)
-                eq |= hit.astype(np.int64) << d
-            old = reach
-            reach = []
+                inside = (col < m_) if col >= 0 else np.zeros(len(part), bool)
+                eq |= (inside & (codes[np.where(inside, a_ + col, len(codes) - 1)] == ch)).astype(np.int64) << d
+            old, reach = reach, []
             for e in range(tau + 1):
                 r = old[e] & eq
                 if e:
-                    r |= old[e - 1]  # substitute
-                    r |= (old[e - 1] >> 1) & full  # delete from b: the diagonal falls
-                    r |= (reach[e - 1] << 1) & full  # insert from a: the diagonal rises
-                reach.append(np.where(on, r, old[e]))
-            if not any(r.any() for r in reach):
-                break
-        goal = tau + m_ - n_
-        for e in range(tau + 1):
-            good |= (reach[e] >> goal) & 1 > 0
-        out[part] = good
+                    # substitute; delete from b: the diagonal falls; insert from a: the diagonal rises
+                    r |= old[e - 1] | (old[e - 1] >> 1) & full | (reach[e - 1] << 1) & full
+                reach.append(r)
+            row += 1
+            done = n_ == row
+            if done.any():
+                goal = tau + (m_ - n_)[done]
+                out[part[done]] = sum((r[done] >> goal) & 1 for r in reach) > 0
+            on = ~done & (sum(reach) > 0)
+            if on.sum() < 0.8 * len(part) or done.any():
+                part, m_, n_, a_, b_ = part[on], m_[on], n_[on], a_[on], b_[on]
+                reach = [r[on] for r in reach]
     return out
 
 
 # -------------------------------------------------------------------- stages
 
 
-def line_table(docs: DataFrame, texts: bool = False, least: int = 0) -> DataFrame:
-    """(doc_id, th, line, h, size) of every line with a word, or (h, text) of lines of at least ``least`` characters, once a slice."""
+def line_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, line, h) of every line with a word; line numbers count all lines from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _ in C.slices(batches, 1 << 20):
-            texts_ = rows.column(2).to_pylist()
-            codes, off = code_points(texts_)
+        for rows, _, _ in C.slices(batches):
+            codes, off = code_points(rows.column(2).to_pylist())
             s, e, row, number = lines(codes, off)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(Spans(codes).hash(s, e).view(np.int64))], ["doc_id", "th", "line", "h"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(C.lean(run), "doc_id long, th long, line int, h long")
+
+
+def line_texts(docs: DataFrame, keys: DataFrame, least: int) -> DataFrame:
+    """(h, text) of the lines of at least ``least`` characters with h in ``keys``.
+
+    A Bloom filter of fixed size keeps other lines from the shuffle; the join is exact.
+    """
+    filter_ = docs.sparkSession.sparkContext.broadcast(C.bloom(keys.select("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, _ in C.slices(batches):
+            texts = rows.column(0).to_pylist()
+            codes, off = code_points(texts)
+            s, e, row, _ = lines(codes, off)
+            long = e - s >= least
+            s, e, row = s[long], e[long], row[long]
             h = Spans(codes).hash(s, e).view(np.int64)
-            if not texts:
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(h), pa.array((e - s).astype(np.int32))], ["doc_id", "th", "line", "h", "size"])
-                continue
             pick = np.unique(h, return_index=True)[1]
-            pick = pick[(e - s)[pick] >= least]
-            x = [texts_[r][i:j] for r, i, j in zip(row[pick], s[pick] - off[row[pick]], e[pick] - off[row[pick]], strict=True)]
+            pick = pick[C.in_bloom(filter_.value, h[pick])]
+            x = [texts[r][i:j] for r, i, j in zip(row[pick], s[pick] - off[row[pick]], e[pick] - off[row[pick]], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(h[pick]), pa.array(x, pa.string())], ["h", "text"])
 
-    src = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return src.mapInArrow(run, "h long, text string" if texts else "doc_id long, th long, line int, h long, size int")
+    return docs.select("text").mapInArrow(C.lean(run), "h long, text string").groupBy("h").agg(F.first("text").alias("text")).join(keys, "h")
 
 
 def _post(tau: int, least: int, buckets: int):
@@ -212,7 +232,7 @@ def _post(tau: int, least: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, who, hashes, n, size = [], [], [], 0, 0
-        for rows, _, _ in C.slices(batches, 1 << 20):
+        for rows, _, _ in C.slices(batches):
             codes, off = code_points(rows.column(0).to_pylist())
             s, e, _, _ = lines(codes, off)
             long = e - s >= least
@@ -263,13 +283,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
 
-def near_pairs(texts: list[str], side: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) of different texts within tau edits; across sides only, where both occur."""
+def near_pairs(texts: list[str], side: np.ndarray, tau: int, unit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of different texts of one unit of work within tau edits; across sides only, where a unit has both.
+
+    ``unit`` numbers the texts' units from 0 in ascending order; without it there is one.
+    """
     n = len(texts)
+    unit = np.zeros(n, np.int64) if unit is None else unit
+    size = np.bincount(unit) if n else np.zeros(0, np.int64)
+    base, cell = np.cumsum(size) - size, np.cumsum(size * size) - size * size
     codes, off = code_points(texts)
     keys, who, probe = [], [], []
     for k, w, p in entries(Spans(codes), off[:-1], off[1:], tau):
-        keys.append(k)
+        keys.append(C.mix(k ^ unit[w].astype(U64) << U64(48)))
         who.append(w)
         probe.append(np.full(len(k), p))
     if not keys:
@@ -280,68 +306,89 @@ def near_pairs(texts: list[str], side: np.ndarray, tau: int) -> tuple[np.ndarray
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.r_[start[1:], len(key)]
     split = start + np.add.reduceat((~p).astype(np.int64), start)
-    seen = np.zeros((n, n), bool)
-    for s, m, e in zip(start.tolist(), split.tolist(), end.tolist(), strict=True):
-        if s < m < e and (m - s > 1 or e - m > 1 or w[s] != w[m]):
-            seen[np.ix_(np.unique(w[m:e]), np.unique(w[s:m]))] = True
-    seen |= seen.T
-    i, j = np.nonzero(np.triu(seen, 1))
-    if (side != side[0]).any():
-        across = side[i] != side[j]
-        i, j = i[across], j[across]
+    able = (split > start) & (split < end) & (np.maximum.reduceat(w, start) > np.minimum.reduceat(w, start))
+    seen = np.zeros(int((size * size).sum()), bool)
+    for s, m, e in zip(start[able].tolist(), split[able].tolist(), end[able].tolist(), strict=True):
+        u = unit[w[s]]
+        row, col = np.unique(w[m:e]) - base[u], np.unique(w[s:m]) - base[u]
+        seen[cell[u] + np.minimum(row[:, None], col) * size[u] + np.maximum(row[:, None], col)] = True
+    hit = np.flatnonzero(seen)
+    u = np.searchsorted(cell, hit, "right") - 1
+    i, j = base[u] + (hit - cell[u]) // size[u], base[u] + (hit - cell[u]) % size[u]
+    two = np.maximum.reduceat(side, base) > np.minimum.reduceat(side, base)
+    keep = (i < j) & ((side[i] != side[j]) | ~two[u])
+    i, j = i[keep], j[keep]
     near = np.zeros(len(i), bool)
     for x in range(0, len(i), 1 << 16):
-        u, v = i[x : x + (1 << 16)], j[x : x + (1 << 16)]
-        near[x : x + (1 << 16)] = edit_within(codes, off[u], off[u + 1], off[v], off[v + 1], tau)
+        v, z = i[x : x + (1 << 16)], j[x : x + (1 << 16)]
+        near[x : x + (1 << 16)] = edit_within(codes, off[v], off[v + 1], off[z], off[z + 1], tau)
     return i[near], j[near]
 
 
-def _verify(tau: int):
-    """Per unit of work: a spanning forest of its links (n null), and the links of each line (b null)."""
+def _verify(tau: int, cells: int = 1 << 22, chars: int = 1 << 20):
+    """Per unit of work: a spanning forest of its links (n null), and the links of each line (b null). Small units are searched together."""
+
+    def search(units: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        g = pa.concat_tables(units)
+        h, part, i, j = (g.column(c).to_numpy() for c in ("h", "part", "i", "j"))
+        side = np.where(i != j, part == j, False).astype(int)
+        unit = np.repeat(np.arange(len(units)), [u.num_rows for u in units])
+        x, y = near_pairs(g.column("text").to_pylist(), side, tau, unit)
+        if not len(x):
+            return
+        f = C.Forest(len(h))
+        keep = np.fromiter((f.join(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+        degree = np.bincount(np.r_[x, y], minlength=len(h))
+        who = np.flatnonzero(degree)
+        k = int(keep.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[h[x[keep]], h[who]]), pa.array([*h[y[keep]].tolist(), *[None] * len(who)], pa.int64()), pa.array([*[None] * k, *degree[who].tolist()], pa.int64())], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        pairs = size = 0
         for g in C.runs(batches, ["root", "i", "j"]):
             if g.num_rows < 2:
                 continue
-            h, part, i, j = (g.column(c).to_numpy() for c in ("h", "part", "i", "j"))
-            side = (part == j[0]).astype(int) if i[0] != j[0] else np.zeros(len(h), int)
-            x, y = near_pairs(g.column("text").to_pylist(), side, tau)
-            if not len(x):
-                continue
-            f = C.Forest(len(h))
-            keep = np.fromiter((f.join(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
-            degree = np.bincount(np.r_[x, y], minlength=len(h))
-            who = np.flatnonzero(degree)
-            k = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h[x[keep]], h[who]]), pa.array([*h[y[keep]].tolist(), *[None] * len(who)], pa.int64()), pa.array([*[None] * k, *degree[who].tolist()], pa.int64())], ["a", "b", "n"])
+            if held and (pairs + g.num_rows**2 > cells or size > chars):
+                yield from search(held)
+                held, pairs, size = [], 0, 0
+            held.append(g)
+            pairs, size = pairs + g.num_rows**2, size + g.column("text").nbytes
+        if held:
+            yield from search(held)
 
     return run
 
 
-def line_links(docs: DataFrame, *, tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """((h, root) classes of lines with links, (h, links) number of other texts within tau)."""
+def line_links(docs: DataFrame, *, tau: int = TAU, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """(h, root, links) of lines with links: smallest line of the class, and number of other lines within tau."""
     buckets = max(64, C.parts(docs.sparkSession))
-    met = docs.select("text").mapInArrow(_post(tau, least, buckets), "bucket int, lines binary, wide boolean, keys binary, who binary").repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long")
-    blocks = C.materialize(C.components(met, "line-blocks"), "line-blocks")
-    cuts = blocks.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
-    placed = blocks.join(cuts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    placed = placed.select(F.col("node").alias("h"), "root", "part", F.col("cuts"))
-    texts = line_table(docs, texts=True, least=least).join(placed, "h").groupBy("h").agg(F.first("text").alias("text"), F.first("root").alias("root"), F.first("part").alias("part"), F.first("cuts").alias("cuts"))
+    met = docs.select("text").mapInArrow(C.lean(_post(tau, least, buckets)), "bucket int, lines binary, wide boolean, keys binary, who binary").repartition(buckets, "bucket").mapInArrow(C.lean(_meet), "a long, b long")
+    blocks = C.components(met, "line-blocks")
+    cuts = C.materialize(blocks.groupBy("root").agg(F.count("*").alias("rows")).withColumn("cuts", F.ceil(F.col("rows") / block).cast("int")), "line-cuts")
+    placed = C.hot_join(blocks, cuts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    placed = C.materialize(placed.select(F.col("node").alias("h"), "root", "part", "cuts"), "line-parts")
+    texts = line_texts(docs, placed, least)
     work = texts.select("h", "text", "root", "part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")).select("h", "text", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     work = work.repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j", "h")
-    found = C.materialize(work.select("root", "i", "j", "part", "h", "text").mapInArrow(_verify(tau), "a long, b long, n long"), "line-links")
+    found = C.materialize(work.select("root", "i", "j", "part", "h", "text").mapInArrow(C.lean(_verify(tau)), "a long, b long, n long"), "line-links")
     classes = C.components(found.where("b is not null").select("a", "b"), "line-classes").withColumnRenamed("node", "h")
-    return classes, found.where("n is not null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("links"))
+    return classes.join(found.where("n is not null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("links")), "h")
 
 
 def judged_lines(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, th, line, links, first): every line with a word; ``first`` marks the occurrence of its class that stays."""
     table = C.materialize(line_table(docs), "lines").dropDuplicates(["doc_id", "th", "line"])
-    classes, links = line_links(docs, **kw)
-    keyed = table.join(classes, "h", "left").join(links, "h", "left").withColumn("key", F.coalesce("root", "h"))
-    keyed = C.materialize(keyed.select("doc_id", "th", "line", "key", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "keyed-lines")
-    first = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"))
-    return keyed.join(first, "key").select("doc_id", "th", "line", "links", F.struct("doc_id", "th", "line").eqNullSafe(F.col("first")).alias("first"))
+    here = F.struct("doc_id", "th", "line")
+    own = C.materialize(table.groupBy("h").agg(F.min(here).alias("first"), F.count("*").alias("rows")), "line-firsts")
+    linked = C.materialize(line_links(docs, **kw).join(own, "h"), "linked-lines")
+    least = C.materialize(linked.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("rows")), "class-firsts")
+    linked = C.hot_join(linked.select("h", "root", "links"), least, "root").select("h", "links", "least")
+    # lines that occur once and link with none need no look-up
+    told = own.join(linked, "h", "left").where("rows > 1 or links is not null")
+    told = C.materialize(told.select("h", "rows", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("least", "first").alias("first")), "told-lines")
+    keyed = C.hot_join(table, told, "h", how="left")
+    return keyed.select("doc_id", "th", "line", F.coalesce("links", F.lit(0)).cast("long").alias("links"), (F.col("first").isNull() | here.eqNullSafe(F.col("first"))).alias("first"))
 
 
 def dedup_report(docs: DataFrame, **kw) -> DataFrame:
@@ -355,16 +402,15 @@ def dedup_report(docs: DataFrame, **kw) -> DataFrame:
 
 def drop_lines(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` without repeated lines; a document that loses every line with a word goes, n_chars follows the text."""
-    per = judged_lines(docs, **kw).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("__lines"), F.collect_list(F.when(~F.col("first"), F.col("line"))).alias("__drop"))
-    per = per.where("size(__drop) > 0")
-    keyed = docs.withColumn("__own", F.xxhash64("text"))
-    got = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left").where("__drop is null or size(__drop) < __lines")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)
-    out = got.withColumn("text", text)
+    per = judged_lines(docs, **kw).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.count("*").alias("n"), F.collect_list(F.when(~F.col("first"), F.col("line"))).alias("gone"))
+    per = per.where("size(gone) > 0")
+    got = C.rows_of(docs).join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").where("gone is null or size(gone) < n")
+    text = F.col("row.text")
+    text = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return got.select(*C.columns_of(docs, **new))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from .common import CACHES
+
 #: End-of-contraction alternatives and character classes of the vocabulary's splitting pattern (fixed values),
 #: restricted to the characters in SAFE.
 LETTER = "a-zªµºß-öø-ž"
@@ -25,9 +27,9 @@ def vocabulary(name: str) -> str:
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them for word_bpe_49k.json; ids fit 16 bits."""
 
-    _own: dict[str, WordEncoder] = {}
+    _own: dict[str, WordEncoder] = CACHES.setdefault("words", {})
 
-    def __init__(self, name: str, most_words: int = 1_000_000) -> None:
+    def __init__(self, name: str, most_words: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))

@@ -2,7 +2,7 @@
 
 import random
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, root string, part int, th string, key string, n string, fp string, length int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, root string, part int, th string, key string, n string, fp string, length int, gone_id int, symbols_high int, __id int, c0 int"
 
 _rng = random.Random(5)
 _WORDS = "the of and in on with by river stone green house walks under small light over near quiet table moves seven old paper train west".split()
@@ -29,7 +29,7 @@ def rows() -> list[tuple]:
     out = []
     for i, t in enumerate(texts()):
         lang, source = [None, "en", "de"][i % 3], [None, "s1", "s2", "s3"][i % 4]
-        out.append((i, t, lang, source, None if i % 5 == 0 else len(t or ""), "r", i, "t", "k", "n", "f", 1))
+        out.append((i, t, lang, source, None if i % 5 == 0 else len(t or ""), "r", i, "t", "k", "n", "f", 1, 2, 3, 4, 5))
     return out
 
 
