@@ -63,7 +63,8 @@ def _post(k: int, buckets: int, most: int = 1_500_000):
         np.add.at(mixed, row, C.mix(tok ^ U64(0xA5A5A5A5A5A5)))
         fp = C.mix(total ^ C.mix(mixed + sizes.astype(U64))).view(np.int64)
         n = len(ids)
-        yield _rows(np.asarray(fp % buckets, np.int32), np.zeros(n, np.int32), ids, hashes, sizes, fp, [b""] * n, [b""] * n)
+        # any bucket will do for the documents themselves: they go round, so that copies do not pile up
+        yield _rows((np.arange(n) % buckets).astype(np.int32), np.zeros(n, np.int32), ids, hashes, sizes, fp, [b""] * n, [b""] * n)
         # one run of postings a bucket; equal sets of this flush post once
         _, first = np.unique(fp, return_index=True)
         own = np.zeros(n, bool)
@@ -90,7 +91,7 @@ def _post(k: int, buckets: int, most: int = 1_500_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, rows, size = [], [], 0, 0
-        for batch, data, off in C.slices(batches, 1 << 20):
+        for batch, data, off in C.slices(batches):
             for i in range(0, batch.num_rows, 32768):
                 part = batch.slice(i, 32768)
                 o = off[i : i + part.num_rows + 1]
@@ -132,6 +133,32 @@ def _unblob(head: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tok, fp[at], size[at]
 
 
+def _repeated(runs: list[tuple[bytes, bytes]], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(token, set, set's size, list's length) of lists of two or more sets, range by range of tokens: runs stay packed but for the range at hand."""
+    total = sum(int(np.frombuffer(head, np.int64, 1, 8)[0]) for head, _ in runs)
+    sample = np.concatenate([_unblob(*r)[0][::64] for r in runs])
+    cuts = np.unique(np.quantile(sample.astype(np.float64), np.linspace(0, 1, -(-total // most) + 1)[1:-1]).astype(U64)) if total > most else np.zeros(0, U64)
+    for lo, hi in zip([None, *cuts.tolist()], [*cuts.tolist(), None], strict=True):
+        got = []
+        for r in runs:
+            tok, fp, n = _unblob(*r)
+            a = np.searchsorted(tok, U64(lo)) if lo is not None else 0
+            z = np.searchsorted(tok, U64(hi)) if hi is not None else len(tok)
+            got.append((tok[a:z], fp[a:z], n[a:z]))
+        tok, fp, n = (np.concatenate([g[i] for g in got]) for i in range(3))
+        del got
+        order = np.lexsort((fp, tok))
+        tok, fp, n = tok[order], fp[order], n[order]
+        new = np.ones(len(tok), bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (fp[1:] != fp[:-1])
+        tok, fp, n = tok[new], fp[new], n[new]
+        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
+        length = np.diff(np.r_[start, len(tok)])
+        df = np.repeat(length, length).astype(np.uint32)
+        keep = df > 1
+        yield tok[keep], fp[keep], n[keep], df[keep]
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's inverted lists: each set gets its shingles with lists of two or more sets, and the lists' lengths."""
 
@@ -150,21 +177,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.filter(pa.array(kind == 1)).to_pylist():
             held.setdefault(x["bucket"], []).append((x["tokens"], x["lists"]))
     for bucket in list(held):
-        got = [_unblob(*x) for x in held.pop(bucket)]
-        tok, fp, n = (np.concatenate([g[i] for g in got]) for i in range(3))
-        del got
-        order = np.lexsort((fp, tok))
-        tok, fp, n = tok[order], fp[order], n[order]
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (fp[1:] != fp[:-1])
-        tok, fp, n = tok[new], fp[new], n[new]
-        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        length = np.diff(np.r_[start, len(tok)])
-        df = np.repeat(length, length)
-        keep = df > 1
-        tok, fp, n, df = tok[keep], fp[keep], n[keep], df[keep]
+        kept = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)), *_repeated(held.pop(bucket))]
+        tok, fp, n, df = (np.concatenate([k[i] for k in kept]) for i in range(4))
+        del kept
         order = np.argsort(fp, kind="stable")
-        tok, fp, n, df = tok[order], fp[order], n[order], df[order].astype(np.uint32)
+        tok, fp, n, df = tok[order], fp[order], n[order], df[order]
         cut = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, np.int64)
         end = np.r_[cut[1:], len(fp)] if len(cut) else cut
         for i in range(0, len(cut), 8192):
@@ -303,39 +320,43 @@ def near_duplicates(docs: DataFrame, *, k: int = K, num: int = NUM, den: int = D
     """Rows (doc_id, th, n_shingles, component_id, n_links), one a row of ``docs``; th is the text's hash. See the module's text."""
     spark = docs.sparkSession
     buckets = max(64, C.parts(spark))
-    posted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(_post(k, buckets), "bucket int, " + OUT)
-    merged = C.materialize(posted.repartition(buckets, "bucket").mapInArrow(_merge, OUT), "lists")
+    posted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(C.lean(_post(k, buckets)), "bucket int, " + OUT)
+    merged = C.materialize(posted.repartition(buckets, "bucket").mapInArrow(C.lean(_merge), OUT), "lists")
     sets = merged.where("kind = 0").select("doc_id", "th", "n", "fp")
     # both lists are collected in one aggregate, so their orders agree
     shared = merged.where("kind = 1").groupBy("fp").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "lists")).alias("x"))
     shared = shared.select("fp", "n", F.col("x.tokens").alias("tokens"), F.col("x.lists").alias("lists"))
-    alive = C.materialize(shared.mapInArrow(_survivors(num, den), "fp long, n long, short int, tokens binary"), "alive")
-    met = alive.select("fp", "short", "tokens").mapInArrow(_short, "token long, fp long")
+    alive = C.materialize(shared.mapInArrow(C.lean(_survivors(num, den)), "fp long, n long, short int, tokens binary"), "alive")
+    met = alive.select("fp", "short", "tokens").mapInArrow(C.lean(_short), "token long, fp long")
     hub = met.groupBy("token").agg(F.min("fp").alias("b"))
     near = met.join(hub, "token").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    blocks = C.materialize(C.components(near, "blocks"), "blocks")
-    cuts = blocks.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
-    placed = blocks.join(cuts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    blocks = C.components(near, "blocks")
+    cuts = C.materialize(blocks.groupBy("root").agg(F.count("*").alias("rows")).withColumn("cuts", F.ceil(F.col("rows") / block).cast("int")), "cuts")
+    placed = C.hot_join(blocks, cuts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     placed = placed.select(F.col("node").alias("fp"), "root", "part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
     placed = placed.select("fp", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     # sets that several texts share, as by case or spacing: a link to one is a link to each of its texts
     texts = sets.where("n > 0").groupBy("fp").agg(F.countDistinct("th").alias("texts")).where("texts > 1")
     work = placed.join(alive, "fp").join(texts, "fp", "left").withColumn("texts", F.coalesce("texts", F.lit(1))).repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    found = C.materialize(work.select("root", "i", "j", "part", "fp", "n", "short", "texts", "tokens").mapInArrow(_search(num, den), "a long, b long, n long"), "found")
+    found = C.materialize(work.select("root", "i", "j", "part", "fp", "n", "short", "texts", "tokens").mapInArrow(C.lean(_search(num, den)), "a long, b long, n long"), "found")
     linked = C.components(found.where("b is not null").select("a", "b"), "links").withColumnRenamed("node", "fp")
     links = found.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("links"))
-    others = F.coalesce("links", F.lit(0)) + F.coalesce("texts", F.lit(1)) - 1
-    keyed = sets.join(linked, "fp", "left").join(links, "fp", "left").join(texts, "fp", "left")
-    keyed = C.materialize(keyed.select("doc_id", "th", "n", F.coalesce("root", "fp").alias("key"), others.cast("long").alias("n_links")), "keyed")
-    least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
-    return keyed.join(least, "key").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "n_links")
+    # one row a set: rows of documents, component, links
+    each = sets.where("n > 0").groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first"), F.countDistinct("th").alias("texts"))
+    each = each.join(linked, "fp", "left").join(links, "fp", "left").withColumn("n_links", (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long"))
+    each = C.materialize(each.select("fp", "rows", "first", "n_links", F.coalesce("root", "fp").alias("key")), "sets")
+    least = C.materialize(each.where("key <> fp or n_links > 0").groupBy("key").agg(F.min("first").alias("least"), F.count("*").alias("sets")), "components")
+    told = C.hot_join(each, least, "key", "sets", how="left").select("fp", "rows", "n_links", F.least("first", "least").alias("component_id"))
+    told = C.materialize(told, "told")
+    got = C.hot_join(sets.where("n > 0"), told, "fp").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return got.unionByName(sets.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """Documents without their near duplicates: of each component the rows of the smallest doc_id stay, and rows without a doc_id."""
     found = near_duplicates(docs.where("doc_id is not null"), **kw)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti").select(*docs.columns)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
+    return C.rows_of(docs).join(gone, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t")), "left_anti").select(*C.columns_of(docs))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,14 @@ def test_t_occurrence_finds_every_link():
         assert pairs == {(a, b) for a in range(160) for b in range(a + 1, 160) if jaccard_linked(py[a], py[b]) and (not across or side[a] != side[b])}
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_jaccard_of_few_words(spark, n):
+    d = spark.createDataFrame([(1, " ".join("abcdefg"[:n])), (2, " ".join("ABCDEFG"[:n]))], "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in ngram_join.near_duplicates(d).collect()} == ({1} if n else {1, 2})
+    data = np.frombuffer(" ".join("abcdefg"[:n]).encode(), np.uint8)
+    assert ngram_join.shingle_sets(data, np.array([0, len(data)]))[1].tolist() == [max(min(n, 1), n - 4)]
+
+
 def test_jaccard_rows(spark):
     assert ngram_join.near_duplicates(nothing(spark)).count() == 0
     d = repeated(spark)
