@@ -88,12 +88,12 @@ def metadata(lang: list, source: list, size: np.ndarray, known: dict) -> list[li
 def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for rows, data, off in C.slices(batches, 1 << 20):
+        for rows, data, off in C.slices(batches):
             w, shares = content(data, off)
             meta = metadata(rows.column(2).to_pylist(), rows.column(3).to_pylist(), np.diff(off), known)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(w, pa.list_(pa.int32())), pa.array(list(shares), pa.list_(pa.float32())), pa.array(meta, pa.list_(pa.int32()))], ["doc_id", "words", "shares", "meta"])
 
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, FEATURES)
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(C.lean(run), FEATURES)
 
 
 # ------------------------------------------------------------------- models
@@ -264,13 +264,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for rows, data, off in C.slices(batches, 1 << 20):
+        for rows, data, off in C.slices(batches):
             w, shares = content(data, off)
             meta = np.array(metadata(rows.column(2).to_pylist(), rows.column(3).to_pylist(), np.diff(off), known), np.int64)
             p = model.scores(w, shares, meta)
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= threshold)], ["doc_id", "p_content", "p_metadata", "p_good", "kept"])
 
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, p_content double, p_metadata double, p_good double, kept boolean")
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(C.lean(run), "doc_id long, p_content double, p_metadata double, p_good double, kept boolean")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

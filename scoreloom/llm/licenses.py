@@ -264,7 +264,7 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, thre
     kind = pa.list_(pa.struct([("name", pa.string()), ("dice", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in C.slices(batches, 1 << 20):
+        for rows, data, off in C.slices(batches):
             found = scan_batch(data, off, compiled, threshold)
             each = [sorted(((d, n, a, z) for n, (d, a, z) in found.get(i, {}).items()), key=lambda x: (-x[0], order[x[1]])) for i in range(rows.num_rows)]
             yield pa.RecordBatch.from_arrays(
@@ -278,7 +278,7 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, thre
                 ["doc_id", "n_licenses", "license", "dice", "licenses"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_licenses long, license string, dice double, licenses array<struct<name:string,dice:double,first:long,last:long>>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(C.lean(run), "doc_id long, n_licenses long, license string, dice double, licenses array<struct<name:string,dice:double,first:long,last:long>>")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

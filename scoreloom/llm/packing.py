@@ -53,7 +53,7 @@ def cut(docs: DataFrame, size: int = SIZE, end: int = END, vocabulary: str = VOC
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(C.lean(run, "words"), PIECES)
 
 
 # ------------------------------------------------------------------- solver

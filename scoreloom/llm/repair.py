@@ -207,7 +207,7 @@ def write(docs: DataFrame, *, end: int = END, vocabulary: str = VOCABULARY, shar
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(C.parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return C.materialize(ordered.mapInArrow(run, "part int, shard int, n_docs long, n_ids long, payload binary"), "shards")
+    return C.materialize(ordered.mapInArrow(C.lean(run, "words"), "part int, shard int, n_docs long, n_ids long, payload binary"), "shards")
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def read(shards: DataFrame) -> DataFrame:
     by_part = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before.alias("before"))  # a row a task
     within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = shards.select("part", "shard", "n_ids").withColumn("within", within).join(by_part, "part").select("part", "shard", (F.col("before") + F.col("within")).alias("base"))
-    return shards.select("part", "shard", "payload").join(base, ["part", "shard"]).select("base", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "shard", "payload").join(base, ["part", "shard"]).select("base", "payload").mapInArrow(C.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
