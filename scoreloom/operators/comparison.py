@@ -2,99 +2,68 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import sha_int
-from ..functions.numbers import TRAITS, grid, huber, let, softmax, total
+from ..functions.numbers import grid, huber, let, softmax, total
+from ..session import materialize
+from .metrics import regression_metrics
 
 # ----------------------------------------------------------------- bootstrap
 
 
-def hash_bootstrap(df: DataFrame, *, stratum: str, order: str, value: dict[str, Column], resamples: int, seed: int = 42) -> DataFrame:
-    """(iteration, n, <value>): sums of values over stratified resamples with replacement.
+def hash_draws(df: DataFrame, *, stratum: str, order: str, resamples: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rows with s and their 1-based rank k, draws (iteration, s, k, times)) of stratified resamples with replacement.
 
-    Draw d of stratum s in iteration i takes the row of 1-based rank pmod(hash(seed|i|s|d), n_s) + 1.
-    So a draw is a row of a join and the work spreads over iterations and strata. Strata keep their sizes.
+    Draw d of stratum s in iteration i takes the row of rank pmod(hash(seed|i|s|d), n_s) + 1. So draws are
+    rows, counted before they meet the data, and any engine can redo them. Strata keep their sizes.
     """
-    w = Window.partitionBy(stratum)
-    ranked = df.select(F.col(stratum).alias("s"), F.row_number().over(w.orderBy(order)).alias("k"), *[v.alias(n) for n, v in value.items()])
+    ranked = df.withColumn("s", F.col(stratum)).withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy(order)))
     sizes = df.groupBy(F.col(stratum).alias("s")).agg(F.count("*").alias("n"))
-    spark = df.sparkSession
-    draws = spark.range(resamples).select(F.col("id").alias("iteration")).join(F.broadcast(sizes)).select("iteration", "s", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("d"))
+    per = df.sparkSession.range(resamples).select(F.col("id").alias("iteration")).join(F.broadcast(sizes))  # strata are few
+    draws = per.select("iteration", "s", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("d"))
     h = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("s"), F.col("d").cast("string")), 256)
     draws = draws.select("iteration", "s", (F.pmod(sha_int(h, 7), F.col("n")) + 1).cast("int").alias("k"))
-    hits = draws.groupBy("iteration", "s", "k").agg(F.count("*").alias("times"))
-    return hits.join(ranked, ["s", "k"]).groupBy("iteration").agg(F.sum("times").alias("n"), *[F.sum(F.col("times") * F.col(n)).alias(n) for n in value])
+    return ranked, draws.groupBy("iteration", "s", "k").agg(F.count("*").alias("times"))
 
 
-def summarize(deltas: DataFrame, column: str, point: float | Column, *, by: tuple[str, ...] = (), confidence: float = 0.95, higher_is_better: bool | Column = False) -> DataFrame:
-    """One row (of each ``by``): point, mean, sd, interval, and the probability of being better; ties count half."""
+def summarize(deltas: DataFrame, column: str, *, by: tuple[str, ...] = (), confidence: float = 0.95, higher_is_better: bool | Column = False) -> DataFrame:
+    """One row (of each ``by``): mean, sd, interval, and the probability of being better; ties count half."""
     d = F.col(column)
     tail = (1 - confidence) / 2
     better = F.when(F.lit(higher_is_better) if isinstance(higher_is_better, bool) else higher_is_better, d > 0).otherwise(d < 0)
     lo_hi = F.percentile(d, F.array(F.lit(tail), F.lit(1 - tail)))
     got = deltas.groupBy(*by).agg(F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"), lo_hi.alias("q"), F.avg(F.when(better, 1.0).when(d == 0, 0.5).otherwise(0.0)).alias("p_better"))
-    return got.select(*by, (F.lit(point) if isinstance(point, float) else point).alias("point"), "mean", "sd", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "p_better")
-
-
-METRICS = tuple(f"{m}_{t}" for m in ("rmse", "spearman") for t in (*TRAITS, "macro"))
-
-
-def spearman(x: np.ndarray, y: np.ndarray) -> float:
-    if len(x) < 2 or np.ptp(x) == 0 or np.ptp(y) == 0:
-        return 0.0
-    return float(np.corrcoef(pd.Series(x).rank().to_numpy(), pd.Series(y).rank().to_numpy())[0, 1])
-
-
-def differences(gold: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[float]:
-    """a minus b in each of ``METRICS``; macro is the mean over traits."""
-    out: list[float] = []
-    for f in (lambda p, k: math.sqrt(np.mean((p[:, k] - gold[:, k]) ** 2)), lambda p, k: spearman(gold[:, k], p[:, k])):
-        d = [f(a, k) - f(b, k) for k in range(len(TRAITS))]
-        out += [*d, sum(d) / len(d)]
-    return out
-
-
-def exact_bootstrap(gold: np.ndarray, a: np.ndarray, b: np.ndarray, strata: list, df_spark, *, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """(iteration, d_rmse_<trait>, ..., d_macro_rmse, d_spearman_<trait>, ..., d_macro_spearman) with NumPy's generator, draws in order of the strata's first appearance.
-
-    For reports of bounded size: the three matrices go to every task. The hash form above has no such bound.
-    """
-    groups = [np.flatnonzero(np.array(strata, object) == s) for s in dict.fromkeys(strata)]
-    names = [f"d_{n}" for n in METRICS]
-
-    def run(batches):
-        for pdf in batches:
-            want = set(pdf["id"])
-            rng, rows = np.random.default_rng(seed), []
-            for i in range(int(pdf["id"].max()) + 1):
-                pick = np.concatenate([g[rng.integers(0, len(g), len(g))] for g in groups])
-                if i not in want:
-                    continue
-                rows.append((i, *differences(gold[pick], a[pick], b[pick])))
-            yield pd.DataFrame(rows, columns=["iteration", *names])
-
-    return df_spark.range(resamples).mapInPandas(run, "iteration long, " + ", ".join(f"{n} double" for n in names))
+    return got.select(*by, "mean", "sd", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "p_better")
 
 
-def bootstrap_report(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """A row per metric: the observed difference a minus b, mean, sd, interval and probability of being better.
+def bootstrap_metrics(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42, metrics: tuple[str, ...] = ("rmse", "spearman")) -> DataFrame:
+    """(iteration, metric, delta): a minus b in each metric, trait and macro (mean over traits); iteration -1 holds the observed rows.
 
-    ``scores``: key, stratum, trait, gold, a and b, a row per key and trait. They are collected; see exact_bootstrap.
+    ``scores``: key, stratum, trait, gold, a and b. A resample is the cells (trait, source, gold, prediction) of its
+    draws; metrics and average ranks come from cells, so no task holds a resample.
     """
-    wide = scores.select(key, stratum, "trait", "gold", a, b).toPandas().pivot(index=[key, stratum], columns="trait", values=["gold", a, b]).sort_index()
-    gold, x, y = (wide[c][list(TRAITS)].to_numpy(float) for c in ("gold", a, b))
-    point = dict(zip(METRICS, differences(gold, x, y), strict=True))
-    d = exact_bootstrap(gold, x, y, wide.index.get_level_values(stratum).tolist(), scores.sparkSession, resamples=resamples, seed=seed)
-    each = d.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"d_{n}").alias("delta")) for n in METRICS])).alias("x")).select("x.*")
-    at = F.element_at(F.create_map(*[F.lit(v) for kv in point.items() for v in kv]), F.col("metric"))
-    return summarize(each, "delta", at, by=("metric",), higher_is_better=F.startswith(F.col("metric"), F.lit("spearman")))
+    long = scores.groupBy(stratum, key).agg(F.collect_list(F.struct("trait", "gold", F.col(a).alias("a"), F.col(b).alias("b"))).alias("of"))  # a row a trait
+    ranked, draws = hash_draws(long, stratum=stratum, order=key, resamples=resamples, seed=seed)
+    drawn = ranked.select(F.lit(-1).cast("long").alias("iteration"), "of", F.lit(1).cast("long").alias("times")).unionByName(draws.join(ranked, ["s", "k"]).select("iteration", "of", "times"))
+    each = drawn.select("iteration", "times", F.explode("of").alias("x")).select("iteration", "times", "x.*")
+    side = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("pred")) for k in ("a", "b")]))
+    cell = each.select("iteration", "times", "trait", "gold", side.alias("y")).groupBy("iteration", "y.side", "trait", "gold", "y.pred").agg(F.sum("times").alias("n"))
+    got = regression_metrics(materialize(cell, "bootstrap"), ["iteration", "side", "trait"])
+    delta = [F.sum(F.when(F.col("side") == "a", F.col(m)).otherwise(-F.col(m))).alias(m) for m in metrics]
+    per = got.groupBy("iteration", "trait").agg(*delta)
+    per = per.unionByName(per.groupBy("iteration").agg(*[F.avg(m).alias(m) for m in metrics]).withColumn("trait", F.lit("macro")))
+    rows = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{m}_"), F.col("trait")).alias("metric"), F.round(m, 12).alias("delta")) for m in metrics]))
+    return per.select("iteration", rows.alias("z")).select("iteration", "z.*")
+
+
+def bootstrap_report(scores: DataFrame, key: str, a: str, b: str, **kw) -> DataFrame:
+    """A row per metric: observed difference a minus b (point), mean, sd, interval and probability that a is better."""
+    d = bootstrap_metrics(scores, key, a, b, **kw)
+    point = d.where("iteration < 0").select("metric", F.col("delta").alias("point"))
+    return summarize(d.where("iteration >= 0"), "delta", by=("metric",), higher_is_better=F.startswith(F.col("metric"), F.lit("spearman"))).join(point, "metric")
 
 
 # --------------------------------------------------------------------- gates

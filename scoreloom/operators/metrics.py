@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import TRAITS, correlation, sample_sd
+from ..functions.text import BLANKS
 
 WITHIN = (0.25, 0.5, 1.0)
 
@@ -135,11 +136,12 @@ def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def split_audit(df: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct ids, documents and essays, and white-space defects of a split."""
+    """Distinct ids, documents, essays and prompt texts, and white-space defects of a split; any Unicode white space counts at the ends."""
     e = F.col("essay")
+    prompts = [F.count_distinct(F.sha2("prompt", 256)).alias("prompts")] if "prompt" in df.columns else []
     return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("document_id").alias("documents"), F.count_distinct(F.sha2("essay", 256)).alias("essays"),
-        F.count_if(e.rlike("^[ \\t\\r\\n]")).alias("leading"), F.count_if(e.rlike("[ \\t\\r\\n]$")).alias("trailing"), F.count_if(e.contains("\n")).alias("lf"), F.count_if(e.contains("\t")).alias("tab"), F.count_if(e.contains("\r")).alias("cr"), F.count_if(e.contains("  ")).alias("double_space"),
+        F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("document_id").alias("documents"), F.count_distinct(F.sha2("essay", 256)).alias("essays"), *prompts,
+        F.count_if(e.rlike(rf"\A{BLANKS}")).alias("leading"), F.count_if(e.rlike(rf"{BLANKS}\z")).alias("trailing"), F.count_if(e.contains("\n")).alias("lf"), F.count_if(e.contains("\t")).alias("tab"), F.count_if(e.contains("\r")).alias("cr"), F.count_if(e.contains("  ")).alias("double_space"),
     )
 
 

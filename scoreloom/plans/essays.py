@@ -32,10 +32,25 @@ def source_score(trait: str, source: str):
     return F.least(F.greatest(gold_score(trait) + noise, F.lit(1.0)), F.lit(5.0))
 
 
-def essays(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+#: Endings given to the texts in turn, so that Korean markers, Unicode digits and Unicode white space occur.
+ENDINGS = (
+    "", "\n따라서 나는 찬성한다고 생각한다. 첫째, 값은 １２３ 이고 ٤٥ 이다.", "\n\u3000\n물론 반론도 있다. 그러나 통계에 따르면 사례가 많다!", "\u3000", "\n예를 들어 경험이 있다. 결론적으로 (하나) 2,5 와 3.14.", "\x0b\xa0", "\n\n또한편 둘째 근거로 왜냐하면 필요하다\u2029",
+)
+
+
+def ended(text: str = "text"):
+    """The text with its ending."""
+    return F.concat(F.col(text), F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), (F.col("doc_id") % len(ENDINGS) + 1).cast("int")))
+
+
+ENDED_SQL = f"(text || [{', '.join(chr(39) + x + chr(39) for x in ENDINGS)}][doc_id % {len(ENDINGS)} + 1])"
+
+
+def essays(spark: SparkSession, sf_dir: str, heavy: bool = False, endings: bool = False) -> DataFrame:
     """ordinal, id, document_id, prompt_num, cohort, essay, and the struct gold."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     d = spread(d) if heavy else d
+    d = d.withColumn("text", ended()) if endings else d
     return d.select(
         F.col("doc_id"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("W"), F.col("doc_id").cast("string")).alias("document_id"),
         F.col("lang").alias("prompt_num"), F.col("source").alias("cohort"), F.col("text").alias("essay"), F.struct(*[gold_score(t).alias(t) for t in GOLD]).alias("gold"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from .essays import ESSAYS, SCORES, essays, predictions, r, read, rounded, sources_long
+from .essays import ENDED_SQL, ESSAYS, SCORES, essays, predictions, r, read, rounded, sources_long
 
 STATS = f"""count(*) AS n, {r('sqrt(avg((p-g)*(p-g)))')} AS rmse, {r('avg(abs(p-g))')} AS mae, {r('avg(p)-avg(g)')} AS bias,
  {r('CASE WHEN count(*)<2 OR min(g)=max(g) OR min(p)=max(p) THEN 0 ELSE corr(g,p) END')} AS pearson,
@@ -46,12 +46,14 @@ SELECT slice, value, trait, n, {', '.join(f'{r(v)} AS {v}' for v in M.VALUES)} F
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.split_audit(essays(spark, sf_dir), ["prompt_num"])
+    e = essays(spark, sf_dir, endings=True).withColumn("prompt", F.concat("prompt_num", F.lit("?")))
+    return M.split_audit(e, ["prompt_num"])
 
 
-AUDIT_SQL = r"""SELECT lang AS prompt_num, count(*) AS n, count(DISTINCT doc_id) AS ids, count(DISTINCT doc_id) AS documents, count(DISTINCT text) AS essays,
- count(*) FILTER (regexp_matches(text, '^[ \t\r\n]')) AS leading, count(*) FILTER (regexp_matches(text, '[ \t\r\n]\z')) AS trailing, count(*) FILTER (contains(text, chr(10))) AS lf, count(*) FILTER (contains(text, chr(9))) AS tab,
- count(*) FILTER (contains(text, chr(13))) AS cr, count(*) FILTER (contains(text, '  ')) AS double_space FROM documents GROUP BY lang"""
+_BLANK = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+AUDIT_SQL = rf"""WITH d AS (SELECT doc_id, lang, {ENDED_SQL} AS text FROM documents) SELECT lang AS prompt_num, count(*) AS n, count(DISTINCT doc_id) AS ids, count(DISTINCT doc_id) AS documents, count(DISTINCT text) AS essays, count(DISTINCT lang) AS prompts,
+ count(*) FILTER (regexp_matches(text, '\A{_BLANK}')) AS leading, count(*) FILTER (regexp_matches(text, '{_BLANK}\z')) AS trailing, count(*) FILTER (contains(text, chr(10))) AS lf, count(*) FILTER (contains(text, chr(9))) AS tab,
+ count(*) FILTER (contains(text, chr(13))) AS cr, count(*) FILTER (contains(text, '  ')) AS double_space FROM d GROUP BY lang"""
 
 
 def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

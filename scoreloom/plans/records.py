@@ -74,27 +74,33 @@ def serialized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SERIAL_SQL = f"WITH {SCORES} SELECT 'D' || doc_id AS id, prompt_num, 'm' AS model, {', '.join(f'{r(f"max(alpha) FILTER (trait = {chr(39)}{t}{chr(39)})")} AS {t}' for t in TRAITS)} FROM scores GROUP BY doc_id, prompt_num"
 
-_N = 40
+RESAMPLES = 2000
 
 
-def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired stratified bootstrap of the difference in squared error, sources alpha and beta."""
-    d = sources_long(spark, sf_dir).where("trait = 'content'")
-    e = {"a": (F.col("alpha") - F.col("gold")) ** 2, "b": (F.col("beta") - F.col("gold")) ** 2}
-    got = CO.hash_bootstrap(d, stratum="prompt_num", order="doc_id", value=e, resamples=_N)
-    delta = got.select((F.sqrt(F.col("a") / F.col("n")) - F.sqrt(F.col("b") / F.col("n"))).alias("delta"))
-    return rounded(CO.summarize(delta, "delta", 0.0))
+def bootstrap(other: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Source alpha against another in all traits and metrics over 2000 paired stratified resamples."""
+        return rounded(CO.bootstrap_report(sources_long(spark, sf_dir), "doc_id", "alpha", other, resamples=RESAMPLES))
 
+    return query
 
-BOOT_SQL = f"""WITH {SCORES}, d AS (SELECT prompt_num AS s, row_number() OVER (PARTITION BY prompt_num ORDER BY doc_id) AS k, (alpha-gold)*(alpha-gold) AS a, (beta-gold)*(beta-gold) AS b FROM scores WHERE trait = 'content'),
-n AS (SELECT s, count(*) AS n FROM d GROUP BY s), w AS (SELECT i, s, n, unnest(range(1, n + 1)) AS j FROM range({_N}) t(i), n), h AS (SELECT i, s, ('0x' || substr(sha256('42|' || i || '|' || s || '|' || j), 1, 7))::BIGINT % n + 1 AS k FROM w),
-g AS (SELECT i, sqrt(avg(a)) - sqrt(avg(b)) AS delta FROM h JOIN d USING (s, k) GROUP BY i)
-SELECT 0.0::DOUBLE AS point, {r('avg(delta)')} AS mean, {r('stddev_samp(delta)')} AS sd, {r('quantile_cont(delta, 0.025)')} AS low, {r('quantile_cont(delta, 0.975)')} AS high, {r('avg(CASE WHEN delta < 0 THEN 1.0 WHEN delta = 0 THEN 0.5 ELSE 0 END)')} AS p_better FROM g"""
 
+def _corr(x: str, y: str) -> str:
+    return f"(sum(n*{x}*{y}) - sum(n*{x})*sum(n*{y})/sum(n)) / sqrt((sum(n*{x}*{x}) - sum(n*{x})*sum(n*{x})/sum(n)) * (sum(n*{y}*{y}) - sum(n*{y})*sum(n*{y})/sum(n)))"
 
-def bootstrap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources alpha and beta in all traits and metrics over 2000 paired stratified resamples."""
-    return rounded(CO.bootstrap_report(sources_long(spark, sf_dir), "doc_id", "alpha", "beta"))
+
+_KEY = "PARTITION BY i, side, trait"
+BOOT_SQL = f"""WITH {SCORES}, d AS (SELECT prompt_num AS s, dense_rank() OVER (PARTITION BY prompt_num ORDER BY doc_id) AS k, trait, gold, alpha, beta FROM scores),
+n AS (SELECT lang AS s, count(*) AS n FROM documents GROUP BY lang), w AS (SELECT i, s, n, unnest(range(1, n + 1)) AS j FROM range({RESAMPLES}) t(i), n), h AS (SELECT i, s, k, count(*) AS t FROM (SELECT i, s, ('0x' || substr(sha256('42|' || i || '|' || s || '|' || j), 1, 7))::BIGINT % n + 1 AS k FROM w) GROUP BY ALL),
+u AS (SELECT -1 AS i, trait, gold, alpha, beta, 1 AS t FROM d UNION ALL SELECT i, trait, gold, alpha, beta, t FROM h JOIN d USING (s, k)),
+c AS (SELECT i, side, trait, gold AS g, p, sum(t)::DOUBLE AS n FROM (SELECT *, 'a' AS side, alpha AS p FROM u UNION ALL SELECT *, 'b', beta FROM u) GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER ({_KEY} ORDER BY g) - sum(n) OVER ({_KEY}, g) / 2 + 0.5 AS rg, sum(n) OVER ({_KEY} ORDER BY p) - sum(n) OVER ({_KEY}, p) / 2 + 0.5 AS rp FROM c),
+m AS (SELECT i, side, trait, sqrt(sum(n * (p - g) * (p - g)) / sum(n)) AS rmse, CASE WHEN sum(n) < 2 OR min(g) = max(g) OR min(p) = max(p) THEN 0 ELSE {_corr('rg', 'rp')} END AS spearman FROM k GROUP BY ALL),
+x AS (SELECT i, trait, sum(CASE WHEN side = 'a' THEN rmse ELSE -rmse END) AS rmse, sum(CASE WHEN side = 'a' THEN spearman ELSE -spearman END) AS spearman FROM m GROUP BY ALL),
+y AS (SELECT * FROM x UNION ALL SELECT i, 'macro', avg(rmse), avg(spearman) FROM x GROUP BY i),
+z AS (SELECT i, 'rmse_' || trait AS metric, round(rmse, 12) AS delta FROM y UNION ALL SELECT i, 'spearman_' || trait, round(spearman, 12) FROM y)
+SELECT metric, {r('max(delta) FILTER (i < 0)')} AS point, {r('avg(delta) FILTER (i >= 0)')} AS mean, {r('stddev_samp(delta) FILTER (i >= 0)')} AS sd, {r('quantile_cont(delta, 0.025) FILTER (i >= 0)')} AS low, {r('quantile_cont(delta, 0.975) FILTER (i >= 0)')} AS high,
+ {r("avg(CASE WHEN delta = 0 THEN 0.5 WHEN (delta > 0) = starts_with(metric, 'spearman') THEN 1.0 ELSE 0 END) FILTER (i >= 0)")} AS p_better FROM z GROUP BY metric"""
 
 
 def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +210,8 @@ QUERIES = {
     "repaired_outputs": (repairs, REPAIR_SQL),
     "embedding_check": (embedding_check, "SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS wrong_size, 0::BIGINT AS not_finite, count(*) FILTER (list_sum(list_transform(embedding, lambda x: x * x)) = 0) AS zero_norm, count(*) - count(DISTINCT vec_id) AS repeated FROM embeddings"),
     "prediction_round_trip": (serialized, SERIAL_SQL),
-    "paired_bootstrap": (bootstrap, BOOT_SQL),
-    "bootstrap_report": (bootstrap_report, None),
+    "paired_bootstrap": (bootstrap("beta"), BOOT_SQL),
+    "bootstrap_report": (bootstrap("gamma"), BOOT_SQL.replace("trait, gold, alpha, beta", "trait, gold, alpha, gamma").replace("'b', beta", "'b', gamma")),
     "judge_tally": (judge, JUDGE_SQL),
     "attempt_seeds": (seeds, "SELECT 'R' || doc_id AS review_id, ('0x' || substr(sha256('2026|R' || doc_id || '|1'), 1, 8))::BIGINT & 2147483647 AS seed FROM documents"),
     "epoch_policy": (epochs, EPOCH_SQL),

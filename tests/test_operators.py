@@ -246,30 +246,21 @@ def test_text_functions(spark):
 
 
 def test_bootstrap_of_equal_predictions(spark):
-    d = spark.createDataFrame([(i, "AB"[i % 2], 1.0) for i in range(20)], "k int, s string, e double")
-    got = comparison.hash_bootstrap(d, stratum="s", order="k", value={"a": F.col("e"), "b": F.col("e")}, resamples=10)
-    assert {r.n for r in got.collect()} == {20}
-    s = comparison.summarize(got.select((F.col("a") - F.col("b")).alias("d")), "d", 0.0).first()
-    assert s.p_better == 0.5 and s.mean == 0
-
-
-def test_exact_bootstrap(spark):
-    rng = np.random.default_rng(1)
-    g, a = rng.uniform(1, 5, (12, 3)), rng.uniform(1, 5, (12, 3))
-    got = comparison.exact_bootstrap(g, a, g, ["x", "y"] * 6, spark, resamples=20).orderBy("iteration").collect()
-    gen = np.random.default_rng(42)
-    pick = np.concatenate([np.arange(k, 12, 2)[gen.integers(0, 6, 6)] for k in (0, 1)])
-    assert len(got) == 20 and abs(got[0].d_rmse_content - np.sqrt(np.mean((a[pick, 0] - g[pick, 0]) ** 2))) < 1e-12
+    d = spark.createDataFrame([(i, "AB"[i % 2], t, 1.0 + i % 3, 2.0, 2.0) for i in range(20) for t in comparison.CRITERIA[:2]], "k int, s string, trait string, gold double, a double, b double")
+    for r in comparison.bootstrap_report(d, "k", "a", "b", stratum="s", resamples=10).collect():
+        assert (r.point, r.mean, r.sd, r.p_better) == (0, 0, 0, 0.5)
+    _, draws = comparison.hash_draws(d.where(f"trait = '{comparison.CRITERIA[0]}'"), stratum="s", order="k", resamples=10)
+    assert {tuple(r) for r in draws.groupBy("iteration", "s").agg(F.sum("times")).select("s", "sum(times)").collect()} == {("A", 10), ("B", 10)}
 
 
 def test_bootstrap_report(spark):
     from scoreloom.plans.essays import sources_long
 
     sf = "/root/testdata/sf0.001"
-    got = {r.metric: r for r in plans.queries()["bootstrap_report"](spark, sf).collect()}
-    assert set(got) == {f"{m}_{t}" for m in ("rmse", "spearman") for t in (*comparison.TRAITS, "macro")}
+    got = {r.metric: r for r in plans.queries()["paired_bootstrap"](spark, sf).collect()}
+    assert set(got) == {f"{m}_{t}" for m in ("rmse", "spearman") for t in (*TRAITS, "macro")}
     d = sources_long(spark, sf).toPandas()
-    for t in comparison.TRAITS:
+    for t in TRAITS:
         x = d[d.trait == t]
         e = {s: np.sqrt(((x[s] - x.gold) ** 2).mean()) for s in ("alpha", "beta")}
         r = {s: x[s].rank().corr(x.gold.rank()) for s in ("alpha", "beta")}
