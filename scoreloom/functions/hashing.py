@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,6 +45,26 @@ def even_digit(hexed: Column) -> Column:
     return F.conv(F.substring(hexed, -1, 1), 16, 10).cast("int") % 2 == 0
 
 
+def unit_hash(*parts: Column) -> Column:
+    """Uniform in [0, 1] from the 64-bit blake2b of parts joined by NUL, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def unit(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") / float(2**64 - 1))
+
+    return unit(F.concat_ws("\0", *parts))
+
+
+def inner_seed(base: int, outer_fold: int) -> int:
+    """Seed of the inner folds of one outer fold."""
+    return (base + int(sha_json({"outer_fold": outer_fold})[:8], 16)) % 0x7FFFFFFF
+
+
+def matrix_digest(matrix: np.ndarray) -> str:
+    """sha256 of a matrix as little-endian doubles in row order."""
+    return hashlib.sha256(np.ascontiguousarray(matrix, "<f8").tobytes()).hexdigest()
+
+
 def canonical_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":"))
 

@@ -166,3 +166,31 @@ def percentile_within(df: DataFrame, by: str, value: str, out: str) -> DataFrame
     below = F.coalesce(F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     v = v.select(by, value, F.try_divide(below + (F.col("__c") - 1) / 2, F.sum("__c").over(w) - 1).alias(out))
     return df.join(v, [by, value])
+
+
+def soft_rank_loss(batches: DataFrame, by: list[str], pred: str, gold: str, *, temperature: float = 0.25, tie: float = 0.0, beta: float = 0.1) -> DataFrame:
+    """(by, loss): mean Huber loss between predicted and gold percentiles inside each group of a batch; single rows give none.
+
+    A row's predicted percentile is its mean sigmoid win over the others, its gold percentile counts gaps of at most ``tie`` as
+    half a win. Groups are what one training batch holds of a prompt, so a row of the group carries them all.
+    """
+    g = batches.groupBy(*by).agg(F.collect_list(F.struct(F.col(pred).cast("double").alias("p"), F.col(gold).cast("double").alias("g"))).alias("of")).where("size(of) > 1")
+    n = F.size("of")
+
+    def one(x: Column) -> Column:
+        others = F.col("of")
+        wins = F.aggregate(others, F.lit(0.0), lambda a, y: a + 1 / (1 + F.exp(-(x["p"] - y["p"]) / temperature))) - 0.5  # itself wins half
+        gold_wins = F.aggregate(others, F.lit(0.0), lambda a, y: a + F.when(x["g"] - y["g"] > tie, 1.0).when(x["g"] - y["g"] < -tie, 0.0).otherwise(0.5)) - 0.5
+        return huber((wins - gold_wins) / (n - 1), beta)
+
+    return g.select(*by, (F.aggregate(F.transform("of", one), F.lit(0.0), lambda a, x: a + x) / n).alias("loss"))
+
+
+def total_loss(mse: Column, ordinal: Column, pairwise: Column, soft_rank: Column, *, weights: tuple[float, float, float, float] = (1.0, 0.3, 0.2, 0.0)) -> Column:
+    """Weighted sum of the four losses; a loss that a batch does not have is null and counts nothing."""
+    if min(weights) < 0:
+        raise ValueError("weights are not negative")
+    got = F.lit(0.0)
+    for w, x in zip(weights, (mse, ordinal, pairwise, soft_rank), strict=True):
+        got = got + w * F.coalesce(x, F.lit(0.0))
+    return got

@@ -33,10 +33,11 @@ def align(gold: DataFrame, pred: DataFrame, key: str = "id") -> DataFrame:
     return both.withColumn("__ok", F.when(bad, F.raise_error(F.concat(F.lit("ids do not align: "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).where("__ok").drop("__g", "__p", "__ok")
 
 
-def coverage(expected: DataFrame, generated: DataFrame, key: str = "id", ok: str = "parse_ok") -> DataFrame:
-    """One row: expected, generated, parsed, failed, missing, parse_rate; ``ok`` null means not generated."""
-    j = expected.select(key).join(generated.select(key, ok), key, "left")
-    return j.agg(F.count("*").alias("expected"), F.count(ok).alias("generated"), F.count_if(F.col(ok)).alias("parsed"), F.count_if(~F.col(ok)).alias("failed"), F.count_if(F.col(ok).isNull()).alias("missing")).withColumn("parse_rate", F.coalesce(F.try_divide(F.col("parsed"), F.col("generated")), F.lit(0.0)))
+def coverage(expected: DataFrame, generated: DataFrame, key: str = "id", ok: str = "parse_ok", elapsed: str | None = None) -> DataFrame:
+    """One row: expected, generated, parsed, failed, missing, parse_rate, and mean_elapsed of generated rows where asked for; ``ok`` null means not generated."""
+    j = expected.select(key).join(generated.select(key, ok, *([elapsed] if elapsed else [])), key, "left")
+    got = j.agg(F.count("*").alias("expected"), F.count(ok).alias("generated"), F.count_if(F.col(ok)).alias("parsed"), F.count_if(~F.col(ok)).alias("failed"), F.count_if(F.col(ok).isNull()).alias("missing"), *([F.avg(elapsed).alias("mean_elapsed")] if elapsed else []))
+    return got.withColumn("parse_rate", F.coalesce(F.try_divide(F.col("parsed"), F.col("generated")), F.lit(0.0)))
 
 
 def cells(long: DataFrame, by: list[str]) -> DataFrame:
@@ -117,6 +118,16 @@ def length_quantiles(df: DataFrame, text: str = "essay", tie: str = "ordinal", k
     return ranked.join(F.broadcast(total)).withColumn("length_quantile", F.floor(F.col("__rank") * k / F.col("__all")).cast("int")).drop("__rank", "__all")
 
 
+def length_bounds(quantiled: DataFrame) -> DataFrame:
+    """Rows, shortest and longest text of each length quantile."""
+    return quantiled.groupBy("length_quantile").agg(F.count("*").alias("n"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"))
+
+
+def head(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows by ``order``: a distributed top-n, no global sort."""
+    return df.orderBy(order).limit(n)
+
+
 def sliced_report(scored: DataFrame, slices: dict[str, str]) -> DataFrame:
     """Metrics with macro and micro rows overall and for each value of each slice column; ``scored`` is long."""
     names = list(slices)

@@ -278,3 +278,31 @@ def select_ridge(df: DataFrame, x: str, target: str, features: int, *, alphas: l
 def one_hot(column: str, values: list[str]) -> Column:
     """0/1 array; unknown values give zeros."""
     return F.array(*[(F.col(column) == v).cast("double") for v in values])
+
+
+def ridge_table(df: DataFrame, x: str, targets: list[str], features: int, *, alpha: float, fold: str | None = None) -> DataFrame:
+    """(held, w, b): coefficients of all rows (held null), or of all but each fold: the deployment models."""
+    part = F.lit(-1).cast("long") if fold is None else F.col(fold).cast("long")
+    moments = {r.held: square(r.g) for r in gram_moments(df.withColumn("held", part), ["held"], x, targets).collect()}
+    whole = sum(moments.values())
+    fits = []
+    for f, own in moments.items():
+        w, b = ridge_from_gram(whole - own if fold else whole, features, len(targets), alpha)
+        fits.append((f if fold else None, [w[:, t].tolist() for t in range(len(targets))], b.tolist()))
+    return df.sparkSession.createDataFrame(fits, "held long, w array<array<double>>, b array<double>")
+
+
+def ensemble_predict(df: DataFrame, models: DataFrame, x: str, key: str, out: str = "pred") -> DataFrame:
+    """(key, out): mean of the models' predictions, then clipped; one model is an ensemble of one. Models are a row a fold."""
+    each = df.select(key, x).join(F.broadcast(models)).select(key, "held", F.posexplode(F.zip_with("w", "b", lambda w, b: F.aggregate(F.zip_with(x, w, lambda a, c: a * c), b, lambda s, v: s + v))).alias("t", "p"))
+    mean = each.groupBy(key, "t").agg(F.avg("p").alias("p"))
+    return mean.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("of")).select(key, F.transform("of", lambda s: clip(s["p"])).alias(out))
+
+
+def best_candidate(errors: DataFrame, by: list[str]) -> DataFrame:
+    """(by, candidate, rmse): the smallest mean over traits of the root mean squared error; ties go to the earlier candidate.
+
+    ``errors``: by, candidate (place in the configuration), trait, squared error sums se and rows n.
+    """
+    per = errors.groupBy(*by, "candidate", "trait").agg(F.sqrt(F.sum("se") / F.sum("n")).alias("rmse")).groupBy(*by, "candidate").agg(F.avg("rmse").alias("rmse"))
+    return per.groupBy(*by).agg(F.min_by(F.struct("candidate", "rmse"), F.struct(F.round("rmse", 12), "candidate")).alias("x")).select(*by, "x.*")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import sha_int
+from ..functions.hashing import sha_int, unit_hash
 from ..functions.numbers import TRAITS, clip, dot, grid, let, sigmoid, softmax
 
 IGNORED = -100
@@ -91,15 +91,18 @@ def blended_score(regression: Column, logits: Column, trait: str, weight: float)
     return weight * bounded_score(regression) + (1 - weight) * expected_score(logits, trait)
 
 
-def jittered(df: DataFrame, *, copies: int, width: float, seed: int, key: str = "id") -> DataFrame:
-    """``copies`` rows each, scores moved by a uniform offset from a hash of (seed, key, copy, trait), clipped."""
+def jittered(df: DataFrame, *, copies: int, width: float, seed: int, key: str = "id", digest: str = "blake2b") -> DataFrame:
+    """``copies`` rows each, scores moved by a uniform offset from a hash of (seed, key, copy, trait), clipped.
+
+    blake2b joins the parts by NUL and counts copies from 0; sha256 joins them by | from 1, for engines without blake2b.
+    """
     d = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
 
-    def offset(t: str) -> Column:
-        h = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("copy").cast("string"), F.lit(t)), 256)
-        return (sha_int(h, 7) / float(16**7) * 2 - 1) * width
+    def unit(t: str) -> Column:
+        parts = [F.lit(str(seed)), F.col(key).cast("string"), (F.col("copy") - int(digest == "blake2b")).cast("string"), F.lit(t)]
+        return unit_hash(*parts) if digest == "blake2b" else sha_int(F.sha2(F.concat_ws("|", *parts), 256), 7) / float(16**7)
 
-    return d.withColumns({t: clip(F.col(t) + offset(t)) for t in TRAITS})
+    return d.withColumns({t: clip(F.col(t) + (2 * unit(t) - 1) * width) for t in TRAITS})
 
 
 def promotable(silver: DataFrame, *, least_rows: int = 500, least_rate: float = 0.5) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from . import evaluation, modelling, pipelines, records, texts
+    from . import evaluation, finals, modelling, pipelines, records, texts
 
-    return {**evaluation.QUERIES, **texts.QUERIES, **modelling.QUERIES, **records.QUERIES, **pipelines.QUERIES}
+    return {**evaluation.QUERIES, **texts.QUERIES, **modelling.QUERIES, **records.QUERIES, **pipelines.QUERIES, **finals.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,7 +44,7 @@ SILVER_SQL = "SELECT count(*) AS generated, count(*) AS accepted, 1.0::DOUBLE AS
 
 def jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("id"), *[gold_score(t).alias(t) for t in TRAITS])
-    return rounded(TR.jittered(d, copies=2, width=0.08, seed=42).select("doc_id", "copy", *TRAITS))
+    return rounded(TR.jittered(d, copies=2, width=0.08, seed=42, digest="sha256").select("doc_id", "copy", *TRAITS))
 
 
 def _jit(t: str) -> str:

@@ -154,6 +154,60 @@ def check_oof(fields: dict, predictions: DataFrame, gold: DataFrame, folds: Data
         raise ContractError("these predictions are stacked already")
 
 
+def checkpoint_signature(files: dict[str, str]) -> str:
+    """One hash of a set of checkpoints (name: path): the files' hashes by name, wherever they lie and however precisely they are loaded."""
+    return sha_json({name: sha_file(path) for name, path in files.items()})
+
+
+def prediction_fields(predictions: DataFrame, inputs: DataFrame, scorer: str, signature: str, model: str | None = None) -> dict:
+    """Sidecar of scorer predictions: bound to their rows, inputs, scorer and model file."""
+    if not scorer.strip() or not signature.strip():
+        raise ContractError("a scorer has a name and a signature")
+    return {"artifact_type": "scorer_predictions", "scorer": scorer, "scorer_signature": signature, "predictions": fingerprint(predictions), "inputs": fingerprint(inputs), **({"model_sha256": sha_file(model)} if model else {})}
+
+
+def check_predictions(fields: dict, predictions: DataFrame, inputs: DataFrame | None = None, *, scorer: str | None = None, signature: str | None = None) -> None:
+    if fields.get("artifact_type") != "scorer_predictions":
+        raise ContractError("not a sidecar of predictions")
+    if fields["predictions"] != fingerprint(predictions) or not fields["predictions"]["rows"]:
+        raise ContractError("predictions differ from the sidecar")
+    if inputs is not None and fields["inputs"] != fingerprint(inputs):
+        raise ContractError("inputs differ from the sidecar")
+    for name, want in (("scorer", scorer), ("scorer_signature", signature)):
+        if want is not None and fields[name] != want:
+            raise ContractError(f"another {name}")
+
+
+PRECISIONS = ("4bit", "bf16")
+
+
+def check_precision_pair(candidate: dict, baseline: dict) -> None:
+    """Two out-of-fold sidecars may be compared if they differ in precision alone: same gold, folds, rows and checkpoints, none of them stacked."""
+    for side in (candidate, baseline):
+        if side.get("precision") not in PRECISIONS or side.get("oof_level") != 0 or not side.get("checkpoints"):
+            raise ContractError("a base model's sidecar with precision and checkpoints is needed")
+    if candidate["precision"] == baseline["precision"]:
+        raise ContractError("both have one precision")
+    for name in ("gold", "folds", "checkpoints"):
+        if candidate[name] != baseline[name]:
+            raise ContractError(f"{name} differ")
+    if candidate["predictions"]["rows"] != baseline["predictions"]["rows"]:
+        raise ContractError("rows differ")
+
+
+def ordered_ids(df: DataFrame, key: str = "id", order: str = "ordinal") -> dict:
+    """Rows, and one hash of the ids with their places: equal only for the same ids in the same order, however the rows are spread."""
+    return fingerprint(df.select(F.col(order).cast("long").alias("place"), F.col(key).cast("string").alias("id")))
+
+
+def check_epochs(evidence: DataFrame, *, epochs: int, runs: int) -> DataFrame:
+    """``evidence`` (run, epoch, ...) if every run has each epoch from 1 on once; an error is raised when a bad table is read."""
+    per = evidence.groupBy("run").agg(F.count("*").alias("n"), F.count_distinct("epoch").alias("d"), F.min("epoch").alias("lo"), F.max("epoch").alias("hi"))
+    fine = per.agg((F.coalesce(F.bool_and((F.col("n") == epochs) & (F.col("d") == epochs) & (F.col("lo") == 1) & (F.col("hi") == epochs)), F.lit(False)) & (F.count("*") == runs)).alias("fine"))
+    checked = evidence.join(F.broadcast(fine)).where(F.when(~F.col("fine"), F.raise_error(F.lit("epoch evidence is incomplete")).cast("boolean")).otherwise(True))
+    return checked.drop("fine")
+
+
 # -------------------------------------------------------------- requirements
 
 _PIN = re.compile(r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?==([^\s;\\]+)")
