@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from . import common as C
 from .tokens import WordEncoder
 
-SIZE, END, VOCABULARY = 2048, 0, "word_bpe_49k.json"
+SIZE, END, VOCABULARY, NODES = 2048, 0, "word_bpe_49k.json", 10_000
 Pattern = tuple[int, tuple[int, ...]]  # how many bins, lengths in each
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -91,48 +91,81 @@ def best_fit(counts: dict[int, int], size: int) -> list[Pattern]:
     return done + [(n, lengths) for held in gaps.values() for lengths, n in held]
 
 
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Filling b's lengths fit into a's as bins: a leaves the easier rest."""
-    room = sorted(a)
-    for x in sorted(b, reverse=True):
-        at = next((i for i, r in enumerate(room) if r >= x), None)
-        if at is None:
-            return False
-        room[at] -= x
-        room.sort()
-    return True
+def lower_bound(left: np.ndarray, size: int) -> int:
+    """Fewest bins that lengths (counts by length, 0..size) need at least.
 
+    For each k up to half a bin: lengths over size - k stand alone, other lengths over a half share a bin with none of
+    their kind, and of the rest those of at least k fill the gaps of the latter and then whole bins.
+    """
+    count, total = np.cumsum(left), np.cumsum(left * np.arange(size + 1))
+    k = np.arange(1, size // 2 + 1)
+    alone = count[size] - count[size - k]
+    halves, used = count[size - k] - count[size // 2], total[size - k] - total[size // 2]
+    rest = total[size // 2] - total[k - 1] - (halves * size - used)
+    return int(max(-(-total[size] // size), (alone + halves + np.maximum(0, -(-rest // size))).max(initial=0)))
 
-def fillings(gap: int, counts: np.ndarray, wide: int = 4, nodes: int = 256) -> list[tuple[int, ...]]:
-    """Undominated fillings of a gap from the lengths that are left, least waste first."""
+
+def _dominates(a: tuple[int, ...], b: tuple[int, ...], steps: int = 64) -> bool:
+    """Filling b's lengths fit into a's as bins: a leaves the easier rest. Exact but for more than ``steps`` tries."""
+    items, rooms, tries = sorted(b, reverse=True), list(a), [steps]
+
+    def go(i: int) -> bool:
+        if i == len(items):
+            return True
+        for r in sorted({x for x in rooms if x >= items[i]}):
+            tries[0] -= 1
+            if tries[0] < 0:
+                return False
+            at = rooms.index(r)
+            rooms[at] = r - items[i]
+            if go(i + 1):
+                return True
+            rooms[at] = r
+        return False
+
+    return sum(items) <= sum(a) and go(0)
+
+
+def fillings(gap: int, counts: np.ndarray, wide: int = 8, nodes: int = 256) -> list[tuple[int, ...]]:
+    """Undominated fillings of a gap from the lengths that are left, least waste first.
+
+    A length is followed by shorter ones alone; of a filling's last length the longest that fits counts, since it
+    dominates the others. A filling without waste ends the search: none is better by waste. ``wide`` lengths a level
+    and ``nodes`` partial fillings bound the enumeration.
+    """
     found: list[tuple[int, ...]] = []
-    budget = [nodes]
+    have = np.flatnonzero(counts[: gap + 1])[::-1].tolist()
+    if not have:
+        return [()]
+    budget, least = [nodes], have[-1]
 
-    def go(room: int, top: int, got: tuple[int, ...]) -> bool:
-        """True once a filling without waste is found."""
+    def go(room: int, at: int, got: tuple[int, ...]) -> bool:
         budget[0] -= 1
-        top = min(top, room)
-        have = np.flatnonzero(counts[: top + 1])[::-1]
-        if room <= top and room < len(counts) and counts[room] > got.count(room):
-            found.append((*got, room))
-            return True
-        tried = 0
-        for x in have.tolist():
-            if counts[x] <= got.count(x):
+        tried, closed = 0, False
+        for i in range(at, len(have)):
+            x = have[i]
+            if x > room or counts[x] <= got.count(x):
                 continue
             if budget[0] <= 0 or tried >= wide:
                 break
             tried += 1
-            if go(room - x, x, (*got, x)):
+            if x == room:
+                found.append((*got, x))
+                return True
+            if room - x < least:
+                if not closed:  # nothing fits behind it; a shorter one with nothing behind wastes more
+                    found.append((*got, x))
+                closed = True
+            elif go(room - x, i, (*got, x)):
                 return True
-        if not tried:
+        if not tried and got:
             found.append(got)
         return False
 
-    go(gap, gap, ())
+    go(gap, 0, ())
     found.sort(key=lambda f: (gap - sum(f), len(f)))
     kept: list[tuple[int, ...]] = []
-    for f in found:
+    for f in found[: 4 * wide]:
         if not any(_dominates(k, f) for k in kept):
             kept.append(f)
         if len(kept) == wide:
@@ -140,60 +173,63 @@ def fillings(gap: int, counts: np.ndarray, wide: int = 4, nodes: int = 256) -> l
     return kept or [()]
 
 
-def bin_completion(counts: dict[int, int], size: int, incumbent: list[Pattern], nodes: int = 6_000) -> list[Pattern]:
-    """The incumbent, or a better packing found by depth-first search within ``nodes`` steps."""
+def bin_completion(counts: dict[int, int], size: int, incumbent: list[Pattern], nodes: int = NODES) -> list[Pattern]:
+    """The incumbent, or a better packing found by depth-first search within ``nodes`` steps.
+
+    A step fills bins around the largest length that is left; a filling is tried as often as its lengths last, half as
+    often and once. A branch ends where its waste, or the bound of what is left, no longer allows an improvement; the
+    search ends with a packing that meets the lower bound.
+    """
     best, bins = incumbent, sum(n for n, _ in incumbent)
     total = sum(k * n for k, n in counts.items())
-    least = -(-total // size)
     left = np.zeros(size + 1, np.int64)
     for k, n in counts.items():
         left[k] = n
-    stack: list[list] = []  # [largest, choices, next choice, applied]
+    least = lower_bound(left, size)
+    stack: list[list] = []  # [choices, next choice, applied]
     waste = used = 0
 
-    def undo(top: list) -> None:
+    def put(n: int, lengths: tuple[int, ...]) -> None:
+        """Fill n bins; empty them again if n is negative."""
         nonlocal waste, used
-        n, lengths = top[3]
         for x in lengths:
-            left[x] += n
-        waste -= n * (size - sum(lengths))
-        used -= n
-        top[3] = None
+            left[x] -= n
+        waste += n * (size - sum(lengths))
+        used += n
+
+    def choices() -> list[Pattern]:
+        big = int(np.flatnonzero(left)[-1])
+        left[big] -= 1
+        found = [(big, *f) for f in fillings(size - big, left)]
+        left[big] += 1
+        most = {f: min(int(left[x]) // c for x, c in Counter(f).items()) for f in found}
+        got = [(k, f) for f in found for k in dict.fromkeys((most[f], most[f] // 2, 1)) if k]
+        return sorted(got, key=lambda c: -c[0] * sum(c[1]))  # whole runs first, then shares of them
 
     while nodes > 0 and bins > least:
         nodes -= 1
-        have = np.flatnonzero(left)
-        if not len(have):
+        if not left.any():
             if used < bins:
-                best, bins = [tuple(t[3]) for t in stack], used
-            if bins <= least:
-                break
-        elif waste <= (bins - 1) * size - total:  # an improvement is still possible
-            big = int(have[-1])
-            left[big] -= 1
-            choices = fillings(size - big, left)
-            left[big] += 1
-            stack.append([big, choices, 0, None])
+                best, bins = [tuple(t[2]) for t in stack], used
+        elif waste <= (bins - 1) * size - total and used + lower_bound(left, size) < bins:
+            stack.append([choices(), 0, None])
         while stack:
             top = stack[-1]
-            if top[3] is not None:
-                undo(top)
-            if top[2] < len(top[1]):
-                lengths = (top[0], *top[1][top[2]])
-                top[2] += 1
-                n = min(int(left[x]) // c for x, c in Counter(lengths).items())
-                gap = size - sum(lengths)
-                if waste + n * gap > (bins - 1) * size - total:
-                    n = max(0, ((bins - 1) * size - total - waste) // gap)
-                    if not n:
-                        continue
-                for x in lengths:
-                    left[x] -= n
-                waste += n * gap
-                used += n
-                top[3] = (n, lengths)
+            if top[2] is not None:
+                put(-top[2][0], top[2][1])
+                top[2] = None
+            if top[1] == len(top[0]):
+                stack.pop()
+                continue
+            n, lengths = top[0][top[1]]
+            top[1] += 1
+            gap = size - sum(lengths)
+            if gap:
+                n = min(n, max(0, ((bins - 1) * size - total - waste) // gap))
+            if n:
+                put(n, lengths)
+                top[2] = (n, lengths)
                 break
-            stack.pop()
         else:
             break
     return best
@@ -231,9 +267,10 @@ def pack(docs: DataFrame, *, size: int = SIZE, end: int = END, vocabulary: str =
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(base, (pieces.part == base.p) & (pieces.length == base.l)).withColumn("rank", F.col("base") + F.col("place"))
-    # the slots depend on the lengths' patterns, not on the number of pieces
-    places = spark.createDataFrame(slots(solve(counts, size)), "slot_length long, lo long, hi long, each long, first_sequence long, at long")
-    got = ranked.join(F.broadcast(places), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    # every step of best fit uses up a length or a pattern, so patterns are at most four a length, however many pieces there are
+    rows = slots(solve(counts, size))
+    places = spark.createDataFrame(rows, "slot_length long, lo long, hi long, each long, first_sequence long, at long")
+    got = ranked.join(F.broadcast(places) if len(rows) <= 500_000 else places, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.floor(nth / F.col("each"))).alias("sequence_id"), (F.col("at") + nth % F.col("each") * F.col("length")).alias("offset"))
 
