@@ -3,10 +3,10 @@
 A shard is the ids of consecutive documents. Frequent id pairs are replaced by
 nonterminals round after round: each round counts all pairs, takes the most
 frequent ones that share no symbol in a way that lets occurrences overlap, and
-replaces them everywhere. Pairs never cross a document's end. A shard stores the
-rules (left, right), their expansion lengths, the compressed ids and, per
-document, its compressed offset and number of ids; so one document, or any range
-of its ids, decodes without the rest.
+replaces them everywhere, until no pair pays for its rule or symbols run out.
+Pairs never cross a document's end. A shard stores the rules (left, right), their
+expansion lengths, the compressed ids and, per document, its compressed offset and
+number of ids; so one document, or any range of its ids, decodes without the rest.
 
 Shard bytes, little-endian: six uint32 (magic, first nonterminal, rules,
 documents, compressed ids, ids), rules as uint16 pairs, expansion lengths as
@@ -36,18 +36,17 @@ from .tokens import WordEncoder
 
 END, VOCABULARY, FIRST, MAGIC = 1, "word_bpe_49k.json", 49408, 0x52504131
 SHARD_IDS = 1 << 20
+LEAST = 5  # a rule and its length take eight bytes, each use of it saves two
 
 
-def compress(ids: np.ndarray, end: int = END, first: int = FIRST, rounds: int = 6, least: int = 8, wide: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(compressed ids, rules as rows left, right); rules may name earlier ones."""
+def compress(ids: np.ndarray, end: int = END, first: int = FIRST, least: int = LEAST, wide: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(compressed ids, rules as rows left, right); rules may name earlier ones. Ends when no pair occurs ``least`` times or symbols run out."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules, limit = 0, 65536 - first
     closed = np.zeros(65536, bool)  # symbols whose last id ends a document
     closed[end] = True
-    for _ in range(rounds):
-        if len(seq) < 2 or n_rules >= limit:
-            break
+    while len(seq) > 1 and n_rules < limit:
         key = seq[:-1] << np.uint32(16) | seq[1:]
         sortable = np.sort(key[~closed[seq[:-1]]])
         if not len(sortable):

@@ -29,7 +29,7 @@ class WordEncoder:
 
     _own: dict[str, WordEncoder] = CACHES.setdefault("words", {})
 
-    def __init__(self, name: str, most_words: int = 300_000) -> None:
+    def __init__(self, name: str, most_words: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
@@ -41,7 +41,8 @@ class WordEncoder:
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
                 got = np.array(encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-                self[word] = got
+                if len(word) <= 64:
+                    self[word] = got
                 return got
 
         self.words = Words()
