@@ -3,17 +3,19 @@
 Two views see different things: the content view the text (presence of hashed
 words, and shares of character classes), the metadata view what comes with the
 page (language, source, size). Each round, both fit a logistic regression on the
-labelled rows and the pseudo-labels received so far; each then labels the
-unlabelled pool and hands its most confident rows of either class to the other.
-At the end each view is calibrated on held-out labelled rows, and a logistic
-combination of the calibrated views, fitted there too, scores all documents.
-
-A document is good if its label says quality 1 and toxic 0. Fitting is bounded:
-at most ``most_labels`` labelled and ``most_pool`` unlabelled documents, those with
-the smallest hash of doc_id; scoring covers every row. With labels of one class
+labelled rows and the pseudo-labels received so far; each then scores all unlabelled
+documents on the executors and hands the most confident of either class, over the
+whole corpus, to the other. At the end each view is calibrated on held-out labelled
+rows, and a logistic combination of the calibrated views, fitted on other held-out
+rows, scores all documents.
+
+A document is good if its label says quality 1 and toxic 0. Fitting is bounded: at
+most ``most_labels`` labelled documents, those with the smallest hash of doc_id, and
+at most ``exchange`` pseudo-labels a view and round. With labels of one class
 alone, every score is the smoothed share of good labels. Null text is empty, null
 language or source is a value of its own. Labels that repeat a doc_id count once
-(the largest); repeated documents each get a score. Extra columns are ignored.
+(the largest); repeated documents each get a score, and the text of the smallest hash
+serves for fitting. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -198,59 +200,80 @@ class Model:
         return np.column_stack([logistic(z), logistic(z @ self.combine[:-1] + self.combine[-1])])
 
 
-def co_train(x_content: Sparse, x_meta: Sparse, y: np.ndarray, held: np.ndarray, *, rounds: int = 3, share: float = 0.1, sure: float = 0.95) -> Model:
-    """y: 1 good, 0 bad, -1 unlabelled (the pool); held: labelled rows kept for calibration."""
-    known = y[y >= 0]
-    prior = (known.sum() + 1) / (len(known) + 2)
-    train = np.flatnonzero((y >= 0) & ~held)
-    if len(set(y[train].tolist())) < 2 or len(set(y[held].tolist())) < 2:
+@dataclass
+class Rows:
+    """Features of documents on the driver."""
+
+    ids: np.ndarray
+    words: list[np.ndarray]
+    shares: np.ndarray
+    meta: np.ndarray
+
+    def take(self, pick: np.ndarray) -> Rows:
+        at = np.flatnonzero(pick) if pick.dtype == bool else pick
+        return Rows(self.ids[at], [self.words[i] for i in at.tolist()], self.shares[at], self.meta[at])
+
+    def view(self, k: int) -> Sparse:
+        return meta_matrix(self.meta) if k else content_matrix(self.words, self.shares)
+
+    @classmethod
+    def join(cls, parts: list[Rows]) -> Rows:
+        return cls(np.concatenate([p.ids for p in parts]), [w for p in parts for w in p.words], np.concatenate([p.shares for p in parts]), np.concatenate([p.meta for p in parts]))
+
+
+def gather(docs: DataFrame, chosen: DataFrame) -> tuple[Rows, pa.Table]:
+    """Features of the documents in ``chosen`` (bounded, unique doc_id), and its rows in their order."""
+    used = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    one = used.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang", "source"), F.struct(F.xxhash64("text"), "lang", "source")).alias("x")).select("doc_id", "x.*")
+    got = features(one).join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
+    return Rows(got.column("doc_id").to_numpy(), *unpack(got)), got
+
+
+VIEWS = ((CONTENT_WIDTH, SIGMAS, 1 << BITS), (META_WIDTH, 0.0, 0))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, most_labels: int = 8000, exchange: int = 800, rounds: int = 3, sure: float = 0.95, hold: float = 0.3) -> Model:
+    own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int") * (F.coalesce("toxic", F.lit(0)) != 1).cast("int")).alias("good"))
+    own = C.materialize(own, "labels")
+    picked = C.materialize(own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels), "labelled")
+    rows, got = gather(docs, picked)
+    y = got.column("good").to_numpy().astype(float)
+    prior = (y.sum() + 1) / (len(y) + 2)
+    place = C.mix(rows.ids.astype(U64) + U64(77)) / 2.0**64
+    held, apart = place < hold / 2, (place >= hold / 2) & (place < hold)  # for calibration, and for the combination
+    own_part = ~held & ~apart
+    if any(len(set(y[part].tolist())) < 2 for part in (own_part, held | apart)):
         odds = float(np.log(prior / (1 - prior)))
         return Model(np.zeros(CONTENT_WIDTH), np.zeros(META_WIDTH), np.array([[0, odds], [0, odds]]), np.array([0.5, 0.5, 0]), prior)
-    pool = np.flatnonzero(y < 0)
-    given = [np.full(len(y), -1), np.full(len(y), -1)]  # pseudo-labels that each view has received
-    views = ((x_content, CONTENT_WIDTH, RIDGE, SIGMAS, 1 << BITS), (x_meta, META_WIDTH, RIDGE, 0.0, 0))
-    weights: list[np.ndarray] = []
+    if any(len(set(y[part].tolist())) < 2 for part in (held, apart)):
+        held = apart = held | apart  # too few to part
+    received: list[list[tuple[Rows, np.ndarray]]] = [[], []]  # pseudo-labels that each view has got
     for i in range(rounds + 1):
         weights = []
-        for own, (x, width, ridge, sigmas, always) in zip(given, views, strict=True):
-            extra = np.flatnonzero(own >= 0)
-            pick = np.r_[train, extra]
-            weights.append(fit(x.take(pick), np.r_[y[train], own[extra]].astype(float), width, ridge, sigmas=sigmas, always=always))
-        if i == rounds or not len(pool):
+        for k, (width, sigmas, always) in enumerate(VIEWS):
+            fit_on = Rows.join([rows.take(own_part), *(r for r, _ in received[k])])
+            weights.append(fit(fit_on.view(k), np.concatenate([y[own_part], *(v for _, v in received[k])]), width, RIDGE, sigmas=sigmas, always=always))
+        cal = np.array([stack(rows.take(held).view(k).dot(weights[k])[:, None], y[held]) for k in (0, 1)])
+        model = Model(weights[0], weights[1], cal, np.array([0.5, 0.5, 0]), prior)
+        if i == rounds:
             break
-        for k, (x, *_) in enumerate(views):
-            z = x.dot(weights[k])
-            slope, constant = stack(z[held][:, None], y[held].astype(float))
-            p = logistic(z * slope + constant)[pool]  # calibrated: a weak view is seldom sure
-            most = max(1, int(share * len(pool)))
-            to = given[1 - k]
-            for label, conf in ((1, p), (0, 1 - p)):
-                ask = np.flatnonzero((conf >= sure) & (to[pool] < 0))
-                # of each class as many as its share among the labels asks for
-                n = max(1, int(most * (prior if label else 1 - prior)))
-                best = ask[np.argsort(-conf[ask], kind="stable")[:n]]
-                to[pool[best]] = label
-    out = np.flatnonzero(held)
-    z = np.stack([x.dot(w)[out] for w, (x, *_) in zip(weights, views, strict=True)], 1)
-    cal = np.array([stack(z[:, k : k + 1], y[out].astype(float)) for k in (0, 1)])
-    combine = stack(z * cal[:, 0] + cal[:, 1], y[out].astype(float))
-    return Model(weights[0], weights[1], cal, combine, prior)
-
-
-def train(docs: DataFrame, labels: DataFrame, *, most_labels: int = 8000, most_pool: int = 8000, hold: float = 0.25, **kw) -> Model:
-    order = F.xxhash64("doc_id")
-    own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int") * (F.coalesce("toxic", F.lit(0)) != 1).cast("int")).alias("good"))
-    picked = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(most_labels)
-    pool = docs.where("doc_id is not null").select("doc_id").distinct().join(own, "doc_id", "left_anti").orderBy(order, "doc_id").limit(most_pool).select("doc_id", F.lit(-1).alias("good"))
-    chosen = C.materialize(picked.unionByName(pool), "chosen")  # most_labels + most_pool rows at most
-    used = docs.join(F.broadcast(chosen), "doc_id")
-    got = features(used.select("doc_id", "text", "lang", "source").dropDuplicates(["doc_id"])).join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
-    if not got.num_rows:
-        return co_train(content_matrix([], np.zeros((0, SHARES))), meta_matrix(np.zeros((0, 4), int)), np.zeros(0), np.zeros(0, bool))
-    y = got.column("good").to_numpy()
-    words, shares, meta = unpack(got)
-    held = (y >= 0) & (C.mix(got.column("doc_id").to_numpy().astype(U64) + U64(77)) < U64(int(hold * 2**64)))
-    return co_train(content_matrix(words, shares), meta_matrix(meta), y, held, **kw)
+        scored = C.materialize(score(docs, model).select("doc_id", "p_content", "p_metadata").where("doc_id is not null").join(own, "doc_id", "left_anti"), "views")
+        for k, column in enumerate(("p_content", "p_metadata")):
+            known = [int(x) for r, _ in received[1 - k] for x in r.ids]
+            asked = []
+            for label, sure_of in ((1, F.col(column)), (0, 1 - F.col(column))):
+                # of each class as many as its share among the labels asks for; a distributed top-n
+                n = max(1, int(exchange * (prior if label else 1 - prior)))
+                best = scored.where((sure_of >= sure) & ~F.col("doc_id").isin(known)).orderBy(sure_of.desc(), "doc_id").limit(n)
+                asked.append(best.select("doc_id", F.lit(label).alias("good")))
+            chosen = C.materialize(asked[0].unionAll(asked[1]).groupBy("doc_id").agg(F.min("good").alias("good")), "chosen")
+            more, got = gather(docs, chosen)
+            if len(more.ids):
+                received[1 - k].append((more, got.column("good").to_numpy().astype(float)))
+    last = rows.take(apart)
+    z = np.stack([last.view(k).dot(weights[k]) for k in (0, 1)], 1)
+    model.combine = stack(z * cal[:, 0] + cal[:, 1], y[apart])
+    return model
 
 
 def unpack(got: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
