@@ -10,6 +10,7 @@ from ..functions.numbers import TRAITS
 from ..operators import folds as FO
 from ..operators import models as M
 from ..operators import neighbours as N
+from ..operators import text_ridge as TR
 from .essays import ESSAYS, SCORES, essays, r, read, rounded, sources_long
 from .texts import with_prompts
 
@@ -164,6 +165,36 @@ def surface_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select("doc_id", "fold", *[F.get("pred", i).alias(t) for i, t in enumerate(TRAITS)]), 4)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_prompts(spark, sf_dir).select("doc_id", (F.col("doc_id") * 7 % 5).cast("int").alias("fold"), "essay", "prompt", *[F.col("gold")[t].alias(t) for t in TRAITS])
+
+
+def text_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge on TF-IDF of words and character triples of whole documents and of their prompts, out of fold."""
+    got = TR.text_ridge_oof(_texts(spark, sf_dir), "doc_id", list(TRAITS), char=(3, 3), prompt=(3, 3), caps={"char": 40_000, "word": 20_000, "prompt": 20_000})
+    return rounded(got.select("doc_id", "fold", *[F.get("pred", i).alias(t) for i, t in enumerate(TRAITS)]), 3)
+
+
+def nested_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Choices of penalty for ridge on TF-IDF of words, per outer fold."""
+    d = _texts(spark, sf_dir).drop("prompt").withColumn("fold", F.col("fold") % 2)
+    _, choices = TR.nested_text_ridge(d, "doc_id", list(TRAITS), alphas=[1.0, 10.0], inner=2, char=(3, 3), word=(1, 1), caps={"char": 5_000, "word": 5_000, "prompt": 1})
+    return rounded(choices, 4)
+
+
+def fold_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the other folds, per held-out fold: inverse document frequencies, the most frequent 2000."""
+    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 5).cast("int").alias("fold"), F.col("text").alias("essay"))
+    sizes = d.crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("held")))).where("fold <> held").groupBy("held").agg(F.count("*").alias("n"))  # five models
+    counted = TR.gram_counts(d, "doc_id", char=(1, 1), word=(1, 1), prompt=None).where("block = 'word'")
+    return rounded(TR.vocabularies(counted, sizes, caps={"word": 2000}).select("held", "term", "idf"))
+
+
+VOCABULARY_SQL = rf"""WITH t AS (SELECT doc_id, doc_id * 7 % 5 AS fold, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM documents), c AS (SELECT doc_id, fold, term, count(*) AS n FROM t GROUP BY ALL),
+s AS (SELECT h AS held, count(*) AS n FROM documents JOIN range(5) r(h) ON doc_id * 7 % 5 <> h GROUP BY h), v AS (SELECT h AS held, term, count(*) AS df, sum(n) AS tf FROM c JOIN range(5) r(h) ON fold <> h GROUP BY ALL HAVING count(*) >= 2)
+SELECT held, term, {r('ln((1 + n) / (1.0 + df)) + 1')} AS idf FROM v JOIN s USING (held) QUALIFY row_number() OVER (PARTITION BY held ORDER BY tf DESC, term) <= 2000"""
+
+
 def answer_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up answers to 18 questions with five codes each: rows of positive integers, normalized."""
     q = F.transform(F.sequence(F.lit(0), F.lit(17)), lambda q: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: 1.0 + F.pmod(3 * F.col("doc_id") + q + c, F.lit(7))))
@@ -199,4 +230,7 @@ QUERIES = {
     "knn_oof": (knn_oof, KNN_SQL),
     "surface_ols_oof": (surface_ols, None),
     "assessment_selection": (assessment, None),
+    "text_ridge_oof": (text_ridge, None),
+    "nested_text_ridge": (nested_ridge, None),
+    "fold_vocabulary": (fold_vocabulary, VOCABULARY_SQL),
 }
