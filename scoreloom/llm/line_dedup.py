@@ -310,11 +310,14 @@ def near_pairs(texts: list[str], side: np.ndarray, tau: int, unit: np.ndarray |
     seen = np.zeros(int((size * size).sum()), bool)
     for s, m, e in zip(start[able].tolist(), split[able].tolist(), end[able].tolist(), strict=True):
         u = unit[w[s]]
-        row, col = np.unique(w[m:e]) - base[u], np.unique(w[s:m]) - base[u]
-        seen[cell[u] + np.minimum(row[:, None], col) * size[u] + np.maximum(row[:, None], col)] = True
+        own = seen[cell[u] : cell[u] + size[u] * size[u]].reshape(size[u], size[u])
+        own[np.ix_(np.unique(w[m:e]) - base[u], np.unique(w[s:m]) - base[u])] = True
     hit = np.flatnonzero(seen)
     u = np.searchsorted(cell, hit, "right") - 1
-    i, j = base[u] + (hit - cell[u]) // size[u], base[u] + (hit - cell[u]) % size[u]
+    i, j = (hit - cell[u]) // size[u], (hit - cell[u]) % size[u]
+    fresh = (i < j) | ~seen[cell[u] + j * size[u] + i]  # a pair met both ways counts once
+    u, i, j = u[fresh], i[fresh], j[fresh]
+    i, j = base[u] + np.minimum(i, j), base[u] + np.maximum(i, j)
     two = np.maximum.reduceat(side, base) > np.minimum.reduceat(side, base)
     keep = (i < j) & ((side[i] != side[j]) | ~two[u])
     i, j = i[keep], j[keep]

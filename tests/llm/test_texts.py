@@ -94,6 +94,17 @@ def test_packing_is_optimal_on_small_cases():
         assert sum(n for n, _ in got) == best(lengths, 100)
 
 
+def test_lower_bound_is_below_the_optimum():
+    rng = random.Random(7)
+    met = 0
+    for _ in range(150):
+        lengths = [rng.randint(5, 70) for _ in range(rng.randint(1, 9))]
+        bound = packing.lower_bound(np.bincount(lengths, minlength=101), 100)
+        assert -(-sum(lengths) // 100) <= bound <= best(lengths, 100)
+        met += bound == best(lengths, 100)
+    assert met > 120
+
+
 def test_completion_beats_best_fit():
     counts = {52: 4, 48: 4, 29: 4, 27: 4, 26: 4, 18: 4}
     fit, done = packing.best_fit(counts, 100), packing.solve(counts, 100)
@@ -386,6 +397,21 @@ def test_classifier_on_held_out(spark):
     assert np.array_equal(model.content, again.content)
 
 
+def test_pseudo_labels_come_from_all_documents(spark):
+    docs, labels = labelled(spark)
+    asked = []
+    real = cotraining.gather
+    cotraining.gather = lambda d, chosen: asked.append(chosen) or real(d, chosen)
+    try:
+        cotraining.train(docs, labels, exchange=20, rounds=1)
+    finally:
+        cotraining.gather = real
+    told = {r.doc_id for r in labels.collect()}
+    for chosen in asked[1:]:
+        ids = {r.doc_id for r in chosen.collect()}
+        assert ids and not ids & told and len(ids) <= 20
+
+
 def test_classifier_rows(spark):
     docs, labels = labelled(spark, 60)
     one = labels.where("quality = 1 and toxic = 0")
