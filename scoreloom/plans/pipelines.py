@@ -12,6 +12,7 @@ from ..operators import rationale as R
 from ..operators import training as TR
 from ..sources import control as CT
 from .essays import SCORES, essays, gold_score, r, read, rounded, sources_long
+from .texts import planted_rationales
 
 
 def combined_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +33,14 @@ GRID_SQL = "SELECT s::INT AS seed, f::INT AS fold, CASE WHEN (s = 42 AND f = 0)
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated rationales that are grounded, against the promotion floors."""
-    led = R.ledger(essays(spark, sf_dir, heavy=True))
-    own = led.withColumn("x", R.rationales(F.col("ledger"), {t: F.col("gold")[t] for t in TRAITS}))
+    """Generated rationales, some of them planted as not grounded, against the promotion floors."""
+    own = planted_rationales(R.ledger(essays(spark, sf_dir, heavy=True, endings=True)))
     g = own.select(R.grounding(F.col("x"), F.col("essay"), F.col("ledger")).alias("g")).select(F.col("g.accepted").alias("accepted"))
     return rounded(TR.promotable(g))
 
 
-SILVER_SQL = "SELECT count(*) AS generated, count(*) AS accepted, 1.0::DOUBLE AS rate, count(*) >= 500 AS promote FROM documents"
+_GOOD = "count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 7 <> 1)"
+SILVER_SQL = f"SELECT count(*) AS generated, {_GOOD} AS accepted, {r(f'{_GOOD}::DOUBLE / count(*)')} AS rate, {_GOOD} >= 500 AND {_GOOD}::DOUBLE / count(*) >= 0.5 AS promote FROM documents"
 
 
 def jitter(spark: SparkSession, sf_dir: str) -> DataFrame:

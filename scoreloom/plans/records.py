@@ -62,7 +62,15 @@ REPAIR_SQL = "SELECT doc_id % 5 = 0 AS strict, doc_id % 5 <> 4 AS repaired, coun
 
 
 def embedding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.check_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 64)
+    """Embeddings, some of them planted as not finite, short, zero or repeated."""
+    e, k = F.col("embedding"), F.col("vec_id") % 50
+    d = read(spark, sf_dir, "embeddings")
+    planted = F.when(k == 0, F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice(e, 2, 63))).when(k == 1, F.concat(F.slice(e, 1, 63), F.array(F.lit(float("inf")).cast("float")))).when(k == 2, F.slice(e, 1, 63)).when(k == 3, F.transform(e, lambda x: x * 0)).otherwise(e)
+    return S.check_vectors(d.select(F.when(k == 4, F.col("vec_id") - 1).otherwise(F.col("vec_id")).alias("vec_id"), planted.alias("embedding")), "embedding", 64)
+
+
+EMBEDDING_SQL = """WITH v AS (SELECT CASE WHEN vec_id % 50 = 4 THEN vec_id - 1 ELSE vec_id END AS id, CASE vec_id % 50 WHEN 0 THEN ['nan'::FLOAT] || embedding[2:] WHEN 1 THEN embedding[:63] || ['inf'::FLOAT] WHEN 2 THEN embedding[:63] WHEN 3 THEN list_transform(embedding, lambda x: x * 0) ELSE embedding END AS e FROM embeddings)
+SELECT count(*) AS rows, count(*) FILTER (len(e) <> 64) AS wrong_size, count(*) FILTER (len(list_filter(e, lambda x: NOT isfinite(x))) > 0) AS not_finite, count(*) FILTER (list_sum(list_transform(e, lambda x: x * x)) = 0) AS zero_norm, count(*) - count(DISTINCT id) AS repeated FROM v"""
 
 
 def serialized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +130,7 @@ SELECT *, {r('wins::DOUBLE / n')} AS win_rate, {r('CASE WHEN wins + losses = 0 T
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("R"), F.col("doc_id").cast("string")).alias("review_id"))
-    return d.select("review_id", H.attempt_seed(2026, F.col("review_id"), F.lit(1), sep="|").alias("seed"))
+    return d.select("review_id", H.attempt_seed(2026, F.col("review_id"), F.lit(1)).alias("seed"))
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,12 +216,12 @@ QUERIES = {
     "strict_scan": (strict_scan, STRICT_SQL),
     "relaxed_predictions": (relaxed, RELAXED_SQL),
     "repaired_outputs": (repairs, REPAIR_SQL),
-    "embedding_check": (embedding_check, "SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS wrong_size, 0::BIGINT AS not_finite, count(*) FILTER (list_sum(list_transform(embedding, lambda x: x * x)) = 0) AS zero_norm, count(*) - count(DISTINCT vec_id) AS repeated FROM embeddings"),
+    "embedding_check": (embedding_check, EMBEDDING_SQL),
     "prediction_round_trip": (serialized, SERIAL_SQL),
     "paired_bootstrap": (bootstrap("beta"), BOOT_SQL),
     "bootstrap_report": (bootstrap("gamma"), BOOT_SQL.replace("trait, gold, alpha, beta", "trait, gold, alpha, gamma").replace("'b', beta", "'b', gamma")),
     "judge_tally": (judge, JUDGE_SQL),
-    "attempt_seeds": (seeds, "SELECT 'R' || doc_id AS review_id, ('0x' || substr(sha256('2026|R' || doc_id || '|1'), 1, 8))::BIGINT & 2147483647 AS seed FROM documents"),
+    "attempt_seeds": (seeds, "SELECT 'R' || doc_id AS review_id, ('0x' || substr(sha256('2026' || chr(0) || 'R' || doc_id || chr(0) || '1'), 1, 8))::BIGINT & 2147483647 AS seed FROM documents"),
     "epoch_policy": (epochs, EPOCH_SQL),
     "trait_losses": (losses, LOSS_SQL),
     "soft_rank_targets": (soft_ranks, RANK_SQL),

@@ -19,6 +19,19 @@ def test_commands(spark, tmp_path):
     cli.main(["weights", *both, "--out", at("weights")])
     cli.main(["stack", *both, "--out", at("stack")])
     cli.main(["rationales", "--gold", at("gold.jsonl"), "--out", at("rationales")])
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps({k: v for k, v in r.items() if k != "score"}, ensure_ascii=False) for r in rows))
+    (tmp_path / "run.jsonl").write_text("\n".join(json.dumps({"id": r["id"], "parse_ok": i % 4 > 0, "elapsed_sec": 2}) for i, r in enumerate(rows[:20])) + "\n\n")
+    (tmp_path / "raw.txt").write_text('Sure: {"content":{"score":3,"rationale":"x"},"organization":{"score":"4점","rationale":"y"},"expression":{"score":2,"rationale":"z"}} end\nno\n')
+    cli.main(["finalize", "--inputs", at("in.jsonl"), "--predictions", at("a.jsonl"), "--model", "m", "--out", at("final")])
+    cli.main(["coverage", "--inputs", at("in.jsonl"), "--log", at("run.jsonl"), "--out", at("coverage")])
+    cli.main(["parse-outputs", "--log", at("raw.txt"), "--out", at("parsed")])
+    cli.main(["means", *both, "--out", at("means")])
+    cli.main(["gate", *both, "--n", "20", "--out", at("gate")])
+    final = spark.read.parquet(at("final")).collect()
+    assert len(final) == 24 and {r.id: r.content for r in final} == {p["id"]: p["prediction"]["content"] for p in pred}
+    assert spark.read.parquet(at("coverage")).first().asDict() | {"x": 1} == {"expected": 24, "generated": 20, "parsed": 15, "failed": 5, "missing": 4, "mean_elapsed": 2.0, "parse_rate": 0.75, "x": 1}
+    assert [r.error for r in spark.read.parquet(at("parsed")).orderBy("error").collect()] == [None, "keys"]
+    assert spark.read.parquet(at("means")).count() == 72 and spark.read.parquet(at("gate")).first().promote
     assert spark.read.parquet(at("report")).where("slice = 'overall'").count() == 5
     assert spark.read.parquet(at("weights")).where("source = 'a' and mean > 0.5").count() == 3
     assert spark.read.parquet(at("stack")).count() == 72
