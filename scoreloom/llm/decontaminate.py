@@ -13,7 +13,8 @@ one shingle, and the rarest does.
 3. Positions of prefix tokens place candidate windows; a candidate that would
    begin before the document's first word or end behind its last is dropped
    (positional and length bounds); the others are verified shingle by shingle:
-   all must stand at their places.
+   all must stand at their places. Shingles are compared by 64-bit hashes: a window of one
+   shingle meets other words at a place with a chance of 2**-64, a longer one needs that of each.
 
 The benchmark side is broadcast while it has at most ``broadcast_rows`` shingles,
 and joined by shuffle beyond. Null or empty texts have no words: n_words and

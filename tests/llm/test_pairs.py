@@ -187,6 +187,18 @@ def test_decontamination(spark, limit):
     assert clean == {r[0] for r in brute_hits(docs, ITEMS) if not r[-1]}
 
 
+def test_decontamination_uses_no_python(spark, monkeypatch):
+    plans, real = [], decontaminate.C.materialize
+    monkeypatch.setattr(decontaminate.C, "materialize", lambda df, label: plans.append(df) or real(df, label))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    plans.append(decontaminate.contamination(documents(spark), items))
+    plans.append(decontaminate.clean(documents(spark), items))
+    assert len(plans) > 3
+    for p in plans:
+        text = p._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in text for x in ("Python", "Arrow", "Pandas", "MapPartitions"))
+
+
 def test_decontamination_rows(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contamination(nothing(spark), items).count() == 0
