@@ -152,6 +152,16 @@ def pairs(df: DataFrame, *, prompt: str, key: str, gap: Column, min_gap: float =
     return s.join(o, "__p").where((F.col(f"l.{key}") < F.col(f"r.{key}")) & (gap > min_gap)).select("l", "r")
 
 
+def cell_pairs(df: DataFrame, *, prompt: str, scores: list[str]) -> DataFrame:
+    """(prompt, l, r, n): how many pairs of one prompt have scores l and r, in either order; pairs of equal scores are left out.
+
+    Rows are counted by their scores first, so the work is that of the score cells of a prompt, not of its rows.
+    """
+    cell = df.groupBy(F.col(prompt).alias("__p"), *scores).agg(F.count("*").alias("__n"))
+    s, o = (cell.select("__p", F.struct(*scores).alias(x), F.col("__n").alias(f"n_{x}")) for x in ("l", "r"))
+    return s.join(o, "__p").where("l < r").select(F.col("__p").alias(prompt), "l", "r", (F.col("n_l") * F.col("n_r")).alias("n"))
+
+
 def pairwise_loss(pred_l: Column, pred_r: Column, gold_l: Column, gold_r: Column, *, tie: float = 0.0, temperature: float = 1.0, order_weight: float = 0.5, beta: float = 0.1) -> Column:
     """Order loss plus Huber loss of the differences; null for ties, which are left out of means."""
     dp, dg = pred_l - pred_r, gold_l - gold_r

@@ -58,9 +58,9 @@ JITTER_SQL = f"WITH {SCORES} SELECT doc_id, copy::INT AS copy, {', '.join(f'{_ji
 def pair_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of embedding rows of one label whose content scores differ by more than 3."""
     v = read(spark, sf_dir, "embeddings").select("vec_id", "label", (1 + F.col("vec_id") * 37 % 41 * F.lit(0.1)).alias("c"))
-    p = CO.pairs(v, prompt="label", key="vec_id", gap=F.abs(F.col("l.c") - F.col("r.c")), min_gap=3.0)
+    p = CO.cell_pairs(v, prompt="label", scores=["c"]).where("abs(l.c - r.c) > 3.0")
     loss = CO.pairwise_loss(F.col("l.c") * 0.9, F.col("r.c") * 0.9, F.col("l.c"), F.col("r.c"))
-    return rounded(p.groupBy(F.col("l.label").alias("label")).agg(F.count("*").alias("n"), F.avg(loss).alias("loss")))
+    return rounded(p.groupBy("label").agg(F.sum("n").alias("n"), (F.sum(loss * F.col("n")) / F.sum("n")).alias("loss")))
 
 
 PAIR_SQL = f"""WITH v AS (SELECT vec_id, label, 1 + vec_id * 37 % 41 * 0.1::DOUBLE AS c FROM embeddings), p AS (SELECT a.label, (a.c - b.c) AS dg, 0.9::DOUBLE * a.c - 0.9::DOUBLE * b.c AS dp FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(a.c - b.c) > 3)
