@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import sha_int
 from ..functions.numbers import grid, huber, let, softmax, total
-from ..session import materialize
 from .metrics import regression_metrics
 
 # ----------------------------------------------------------------- bootstrap
@@ -51,7 +50,7 @@ def bootstrap_metrics(scores: DataFrame, key: str, a: str, b: str, *, stratum: s
     each = drawn.select("iteration", "times", F.explode("of").alias("x")).select("iteration", "times", "x.*")
     side = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("pred")) for k in ("a", "b")]))
     cell = each.select("iteration", "times", "trait", "gold", side.alias("y")).groupBy("iteration", "y.side", "trait", "gold", "y.pred").agg(F.sum("times").alias("n"))
-    got = regression_metrics(materialize(cell, "bootstrap"), ["iteration", "side", "trait"])
+    got = regression_metrics(cell, ["iteration", "side", "trait"])
     delta = [F.sum(F.when(F.col("side") == "a", F.col(m)).otherwise(-F.col(m))).alias(m) for m in metrics]
     per = got.groupBy("iteration", "trait").agg(*delta)
     per = per.unionByName(per.groupBy("iteration").agg(*[F.avg(m).alias(m) for m in metrics]).withColumn("trait", F.lit("macro")))

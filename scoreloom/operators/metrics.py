@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import TRAITS, correlation, sample_sd
 from ..functions.text import BLANKS
+from ..session import materialize
 
 WITHIN = (0.25, 0.5, 1.0)
 
@@ -65,6 +66,7 @@ def regression_metrics(cell: DataFrame, by: list[str], guarded: bool = True) ->
 
     A constant side or a single row gives correlation 0; null if not ``guarded``.
     """
+    cell = materialize(cell.select(*by, "gold", "pred", "n"), "cells")  # ranks and moments read the cells, not the rows behind them
     c = cell.join(average_ranks(cell, by, "gold", "__rg"), [*by, "gold"]).join(average_ranks(cell, by, "pred", "__rp"), [*by, "pred"])
     e = F.col("pred") - F.col("gold")
     agg = c.groupBy(*by).agg(
@@ -92,8 +94,8 @@ VALUES = ["rmse", "mae", "bias", "pearson", "spearman", "gold_mean", "pred_mean"
 
 def with_macro_micro(cell: DataFrame, by: list[str]) -> DataFrame:
     """Metrics by (by, trait), with rows ``macro`` (mean over traits) and ``micro`` (all scores as one vector)."""
-    micro = cell.withColumn("trait", F.lit("micro")).groupBy(*by, "trait", "gold", "pred").agg(F.sum("n").alias("n"))
-    own = regression_metrics(cell.unionByName(micro.select(*cell.columns)), [*by, "trait"])
+    both = cell.withColumn("trait", F.explode(F.array("trait", F.lit("micro")))).groupBy(*by, "trait", "gold", "pred").agg(F.sum("n").alias("n"))
+    own = regression_metrics(both, [*by, "trait"])
     macro = own.where("trait <> 'micro'").groupBy(*by).agg(F.sum("n").alias("n"), *[F.avg(v).alias(v) for v in VALUES]).withColumn("trait", F.lit("macro"))
     return own.unionByName(macro.select(*own.columns))
 
