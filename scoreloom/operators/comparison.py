@@ -58,9 +58,9 @@ def bootstrap_metrics(scores: DataFrame, key: str, a: str, b: str, *, stratum: s
     return per.select("iteration", rows.alias("z")).select("iteration", "z.*")
 
 
-def bootstrap_report(scores: DataFrame, key: str, a: str, b: str, **kw) -> DataFrame:
+def bootstrap_report(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42) -> DataFrame:
     """A row per metric: observed difference a minus b (point), mean, sd, interval and probability that a is better."""
-    d = bootstrap_metrics(scores, key, a, b, **kw)
+    d = bootstrap_metrics(scores, key, a, b, stratum=stratum, resamples=resamples, seed=seed)
     point = d.where("iteration < 0").select("metric", F.col("delta").alias("point"))
     return summarize(d.where("iteration >= 0"), "delta", by=("metric",), higher_is_better=F.startswith(F.col("metric"), F.lit("spearman"))).join(point, "metric")
 
