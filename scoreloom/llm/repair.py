@@ -172,7 +172,13 @@ class Shard:
         return expand(seq, self.rules, self.first)
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+        """Every id: the rules are expanded once, and their expansions are copied to their places."""
+        table = np.r_[np.arange(self.first, dtype=np.uint32), expand(np.arange(len(self.rules)) + self.first, self.rules, self.first)]
+        size = np.r_[np.ones(self.first, np.int64), self.lengths.astype(np.int64)]
+        start = np.cumsum(size) - size
+        n = size[self.seq]
+        stop = np.cumsum(n)
+        return table[np.repeat(start[self.seq] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
 
 
 def write(docs: DataFrame, *, end: int = END, vocabulary: str = VOCABULARY, shard_ids: int = SHARD_IDS) -> DataFrame:

@@ -40,24 +40,27 @@ def knn(queries: DataFrame, bank: DataFrame, *, k: int = K, temperature: float =
     A query whose prompt has no candidate uses the whole bank (``global``) or is an error.
     """
 
-    def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         q, b = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("id")
-        out = []
-        if len(q) and len(b):
-            def unit(v):
-                m = np.stack(v.to_numpy()).astype(float)
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                if (n == 0).any():
-                    raise ValueError("zero norm embedding")
-                return m / n
-
-            sim = unit(q["embedding"]) @ unit(b["embedding"]).T
-            ids, folds, scores = b["id"].to_numpy(), b["fold"].to_numpy(), b["scores"].to_numpy()
-            for i, (own, fold) in enumerate(zip(q["id"], q["fold"], strict=True)):
-                ok = np.flatnonzero((ids != own) & ((folds != fold) if other_folds else True))
-                for j in ok[np.argsort(-sim[i, ok], kind="stable")[:k]]:
-                    out.append((own, ids[j], float(sim[i, j]), list(scores[j])))
-        return pd.DataFrame(out, columns=["id", "near", "sim", "scores"])
+        if not len(q) or not len(b):
+            return pd.DataFrame({"id": q["id"][:0].reset_index(drop=True), "near": b["id"][:0].reset_index(drop=True), "sim": np.zeros(0), "scores": pd.Series([], dtype=object)})
+
+        def unit(v):
+            m = np.stack(v.to_numpy()).astype(float)
+            n = np.linalg.norm(m, axis=1, keepdims=True)
+            if (n == 0).any():
+                raise ValueError("zero norm embedding")
+            return m / n
+
+        sim = unit(q["embedding"]) @ unit(b["embedding"]).T
+        ids, folds, mine = b["id"].to_numpy(), b["fold"].to_numpy(), q["id"].to_numpy()
+        sim[mine[:, None] == ids] = -np.inf
+        if other_folds:
+            sim[q["fold"].to_numpy()[:, None] == folds] = -np.inf
+        # all that reach the k-th similarity; ranks over all blocks settle ties
+        least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(sim), -np.inf)
+        i, j = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+        return pd.DataFrame({"id": mine[i], "near": ids[j], "sim": sim[i, j], "scores": pd.Series([list(x) for x in b["scores"].to_numpy()[j]], dtype=object)})
 
     kind = dict(queries.dtypes)["id"]
     schema = f"id {kind}, near {kind}, sim double, scores array<double>"
