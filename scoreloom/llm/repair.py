@@ -4,7 +4,7 @@ A shard is the ids of consecutive documents. Frequent id pairs are replaced by
 nonterminals round after round: each round counts all pairs, takes the most
 frequent ones that share no symbol in a way that lets occurrences overlap, and
 replaces them everywhere, until no pair pays for its rule or symbols run out.
-Pairs never cross a document's end. A shard stores the rules (left, right), their
+The end id stays alone, so no pair crosses a document's end. A shard stores the rules (left, right), their
 expansion lengths, the compressed ids and, per document, its compressed offset and
 number of ids; so one document, or any range of its ids, decodes without the rest.
 
@@ -44,16 +44,14 @@ def compress(ids: np.ndarray, end: int = END, first: int = FIRST, least: int = L
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules, limit = 0, 65536 - first
-    closed = np.zeros(65536, bool)  # symbols whose last id ends a document
-    closed[end] = True
     while len(seq) > 1 and n_rules < limit:
         key = seq[:-1] << np.uint32(16) | seq[1:]
-        sortable = np.sort(key[~closed[seq[:-1]]])
-        if not len(sortable):
-            break
+        sortable = np.sort(key)
         edge = np.flatnonzero(np.r_[True, sortable[1:] != sortable[:-1]])
         count = np.diff(np.r_[edge, len(sortable)])
-        often = np.flatnonzero(count >= least)
+        pair = sortable[edge]
+        # the end id stands alone, so no pair crosses a document's end
+        often = np.flatnonzero((count >= least) & (pair >> np.uint32(16) != end) & (pair & np.uint32(0xFFFF) != end))
         if len(often) > wide:
             often = often[np.argpartition(-count[often], wide)[:wide]]
         pairs = sortable[edge[often]][np.lexsort((sortable[edge[often]], -count[often]))]
@@ -70,11 +68,10 @@ def compress(ids: np.ndarray, end: int = END, first: int = FIRST, least: int = L
         if not taken:
             break
         taken = np.sort(np.array(taken, np.uint32))
-        # a symbol of some left and a symbol of some right: the pair itself is then looked up
-        left_ok, right_ok = np.zeros(65536, bool), np.zeros(65536, bool)
-        left_ok[taken >> np.uint32(16)] = True
-        right_ok[taken & np.uint32(0xFFFF)] = True
-        at = np.flatnonzero(left_ok[seq[:-1]] & right_ok[seq[1:]])
+        # places whose pair shares a slot with a taken one; the pair itself is then looked up
+        slot = np.zeros(1 << 20, bool)
+        slot[(taken * np.uint32(2654435761)) >> np.uint32(12)] = True
+        at = np.flatnonzero(slot[(key * np.uint32(2654435761)) >> np.uint32(12)])
         pos = np.searchsorted(taken, key[at])
         pos[pos == len(taken)] = 0
         hit = taken[pos] == key[at]
@@ -89,7 +86,6 @@ def compress(ids: np.ndarray, end: int = END, first: int = FIRST, least: int = L
         keep[at + 1] = False
         seq = seq[keep]
         rules.append(np.stack([taken >> np.uint32(16), taken & np.uint32(0xFFFF)], 1))
-        closed[first + n_rules : first + n_rules + len(taken)] = closed[taken & np.uint32(0xFFFF)]
         n_rules += len(taken)
     return seq.astype(np.uint16), (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)).astype(np.uint16)
 
