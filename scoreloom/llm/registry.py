@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, cotraining, decontaminate, licenses, line_dedup, ngram_join, packing, quality_rules, repair, token_counts
+from . import chat, cotraining, decontaminate, divergence, licenses, line_dedup, ngram_join, packing, quality_rules, repair, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": ngram_join.op8,
         "op9_cotraining_quality": cotraining.op9,
         "op10_decontamination": decontaminate.op10,
+        "op11_source_divergence": divergence.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.ORACLE}
+    return {"op7_chat_formatting": chat.ORACLE, "op11_source_divergence": divergence.ORACLE}
