@@ -28,7 +28,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -134,7 +134,7 @@ def ranks(rows: DataFrame, *, most: int = MOST) -> DataFrame:
 # ---------------------------------------------------------------------- trie
 
 
-def _levels(size) -> F.Column:
+def _levels(size: Column) -> Column:
     """How often ``size`` nodes are reduced until one is left."""
     powers = F.array(*[F.lit(FANOUT**k).cast("decimal(20,0)") for k in range(21)])
     return F.size(F.filter(powers, lambda p: p < size))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, cotraining, decontaminate, divergence, licenses, line_dedup, merkle, ngram_join, packing, quality_rules, repair, token_counts
+from . import chat, cotraining, decontaminate, divergence, exact_dedup, licenses, line_dedup, merkle, ngram_join, packing, quality_rules, repair, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": decontaminate.op10,
         "op11_source_divergence": divergence.op11,
         "op12_merkle_manifest": merkle.op12,
+        "op13_exact_dedup": exact_dedup.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
+    return {"op7_chat_formatting": chat.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}
