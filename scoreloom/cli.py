@@ -105,16 +105,15 @@ def surface(spark, a):
 
 
 def _features(d):
-    prompts = _prompts(d)
-    return text.surface_features(d).withColumn("dense", F.concat(F.array(*text.SURFACE), models.one_hot("prompt_num", prompts)))
+    return text.surface_features(d).withColumn("dense", F.array(*text.SURFACE))
 
 
 def tfidf(spark, a):
-    return text_ridge.text_ridge_oof(_features(_texts(spark, a)), "id", list(TRAITS), alpha=a.alpha[0] if a.alpha else 10.0, dense="dense")
+    return text_ridge.text_ridge_oof(_features(_texts(spark, a)), "id", list(TRAITS), alpha=a.alpha[0] if a.alpha else 3.0, dense="dense", category="prompt_num")
 
 
 def nested_tfidf(spark, a):
-    return text_ridge.nested_text_ridge(_features(_texts(spark, a)), "id", list(TRAITS), alphas=a.alpha or [1.0, 3.0, 10.0, 30.0], inner=a.n, seed=a.seed, dense="dense")[0]
+    return text_ridge.nested_text_ridge(_features(_texts(spark, a)), "id", list(TRAITS), alphas=a.alpha or [3.0, 1.0, 10.0], inner=a.n, seed=a.seed, dense="dense", category="prompt_num")[0]
 
 
 def _scored(spark, path, contract="canonical"):

@@ -166,33 +166,41 @@ def surface_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_prompts(spark, sf_dir).select("doc_id", (F.col("doc_id") * 7 % 5).cast("int").alias("fold"), "essay", "prompt", *[F.col("gold")[t].alias(t) for t in TRAITS])
+    """Whole documents, their prompts and surface features, made-up scores and five folds."""
+    e = T.surface_features(with_prompts(spark, sf_dir))
+    return e.select("doc_id", "prompt_num", "cohort", (F.col("doc_id") * 7 % 5).cast("int").alias("fold"), "essay", "prompt", F.array(*T.SURFACE).alias("dense"), *[F.col("gold")[t].alias(t) for t in TRAITS])
 
 
 def text_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge on TF-IDF of words and character triples of whole documents and of their prompts, out of fold."""
-    got = TR.text_ridge_oof(_texts(spark, sf_dir), "doc_id", list(TRAITS), char=(3, 3), prompt=(3, 3), caps={"char": 40_000, "word": 20_000, "prompt": 20_000})
-    return rounded(got.select("doc_id", "fold", *[F.get("pred", i).alias(t) for i, t in enumerate(TRAITS)]), 3)
+    """Ridge on TF-IDF of characters, words and prompts, prompt categories and surface features of whole documents, out of fold."""
+    got = TR.text_ridge_oof(_texts(spark, sf_dir), "doc_id", list(TRAITS), dense="dense", category="prompt_num")
+    return rounded(got.select("doc_id", "fold", *[F.get("pred", i).alias(t) for i, t in enumerate(TRAITS)]), 2)
 
 
 def nested_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Choices of penalty for ridge on TF-IDF of words, per outer fold."""
-    d = _texts(spark, sf_dir).drop("prompt").withColumn("fold", F.col("fold") % 2)
-    _, choices = TR.nested_text_ridge(d, "doc_id", list(TRAITS), alphas=[1.0, 10.0], inner=2, char=(3, 3), word=(1, 1), caps={"char": 5_000, "word": 5_000, "prompt": 1})
-    return rounded(choices, 4)
+    """All candidates of the same ridge, three penalties by two by two caps, with their inner errors, for each of five outer folds."""
+    _, candidates = TR.nested_text_ridge(_texts(spark, sf_dir), "doc_id", list(TRAITS), dense="dense", category="prompt_num")
+    return rounded(candidates, 3)
 
 
 def fold_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the other folds, per held-out fold: inverse document frequencies, the most frequent 2000."""
-    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 5).cast("int").alias("fold"), F.col("text").alias("essay"))
-    sizes = d.crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("held")))).where("fold <> held").groupBy("held").agg(F.count("*").alias("n"))  # five models
-    counted = TR.gram_counts(d, "doc_id", char=(1, 1), word=(1, 1), prompt=None).where("block = 'word'")
-    return rounded(TR.vocabularies(counted, sizes, caps={"word": 2000}).select("held", "term", "idf"))
-
-
-VOCABULARY_SQL = rf"""WITH t AS (SELECT doc_id, doc_id * 7 % 5 AS fold, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM documents), c AS (SELECT doc_id, fold, term, count(*) AS n FROM t GROUP BY ALL),
-s AS (SELECT h AS held, count(*) AS n FROM documents JOIN range(5) r(h) ON doc_id * 7 % 5 <> h GROUP BY h), v AS (SELECT h AS held, term, count(*) AS df, sum(n) AS tf FROM c JOIN range(5) r(h) ON fold <> h GROUP BY ALL HAVING count(*) >= 2)
-SELECT held, term, {r('ln((1 + n) / (1.0 + df)) + 1')} AS idf FROM v JOIN s USING (held) QUALIFY row_number() OVER (PARTITION BY held ORDER BY tf DESC, term) <= 2000"""
+    """Inverse document frequencies of the other folds' characters and words, per held-out fold: the most frequent 3000 of each."""
+    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 5).cast("int").alias("f"), F.lit(None).cast("array<int>").alias("inner"), F.col("text").alias("essay"))
+    sets = [(o, None) for o in range(5)]
+    wide = TR.frequencies(TR.grams(d, "doc_id", char=(3, 4)), sets)
+    kept = TR.vocabularies(wide, caps={"char": 3000, "word": 3000})
+    sizes = F.broadcast(d.agg(*[F.count_if(TR.seen(s)).alias(f"n{s[0]}") for s in sets]).select(F.array(*[f"n{o}" for o, _ in sets]).alias("n")))  # a row
+    idf = F.log((1 + F.get("n", F.col("held"))) / (1 + F.get("df", F.col("held")))) + 1
+    return rounded(kept.select("block", "term", "df", F.explode("has").alias("held")).join(sizes).select("held", "block", "term", idf.alias("idf")))
+
+
+VOCABULARY_SQL = rf"""WITH low AS (SELECT doc_id, doc_id * 7 % 5 AS fold, lower(text) AS text FROM documents), one AS (SELECT doc_id, fold, regexp_replace(text, '\s\s+', ' ', 'g') AS text FROM low),
+w AS (SELECT doc_id, fold, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM low), k AS (SELECT unnest([3, 4]) AS k),
+t AS (SELECT doc_id, fold, 'word' AS block, unnest(w) AS term FROM w UNION ALL SELECT doc_id, fold, 'word', w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w)
+UNION ALL SELECT doc_id, fold, 'char', substr(text, i, k) FROM (SELECT *, unnest(range(1, length(text) - k + 2)) AS i FROM one, k)),
+c AS (SELECT doc_id, fold, block, term, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT h AS held, count(*) AS n FROM documents JOIN range(5) r(h) ON doc_id * 7 % 5 <> h GROUP BY h),
+v AS (SELECT h AS held, block, term, count(*) AS df, sum(n) AS tf FROM c JOIN range(5) r(h) ON fold <> h GROUP BY ALL HAVING count(*) >= CASE block WHEN 'char' THEN 3 ELSE 2 END)
+SELECT held, block, term, {r('ln((1 + n) / (1.0 + df)) + 1')} AS idf FROM v JOIN s USING (held) QUALIFY row_number() OVER (PARTITION BY held, block ORDER BY tf DESC, term) <= 3000"""
 
 
 def answer_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
