@@ -71,7 +71,7 @@ def judge_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 6
     pick = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("TIE")), (F.col("doc_id") % 3 + 1).cast("int"))
     body = F.concat(*[F.concat(F.lit(f'"{k}":"'), F.when(kind == 1, "a").otherwise(pick) if k == "overall" else pick, F.lit('",')) for k in S.DECISIONS])
-    reason = F.when(kind == 2, F.repeat(F.lit("x"), 241)).when(kind == 3, "one\\ntwo").when(kind == 4, " ").otherwise(" 근거가 충실하다 ")
+    reason = F.when(kind == 2, F.repeat(F.lit("x"), 221)).when(kind == 3, "one\\ntwo").when(kind == 4, " ").otherwise(" 근거가 충실하다 ")
     line = F.concat(F.lit("{"), body, F.lit('"reason":"'), reason, F.lit('"'), F.when(kind == 5, ',"more":1').otherwise(""), F.lit("}"))
     p = S.parse_lines(read(spark, sf_dir, "documents").select("doc_id", line.alias("value")), "judgement")
     return p.groupBy(F.coalesce("error", F.lit("none")).alias("error"), "overall").agg(F.count("*").alias("n"), F.max(F.length("reason")).alias("reason_chars"))
