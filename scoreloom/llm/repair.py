@@ -91,15 +91,11 @@ def compress(ids: np.ndarray, end: int = END, first: int = FIRST, least: int = L
 
 
 def expansion(rules: np.ndarray, first: int = FIRST) -> np.ndarray:
-    """Number of ids under each rule."""
-    length = np.ones(len(rules), np.int64)
-    for _ in range(64):
-        side = [np.where(rules[:, i] < first, 1, length[np.maximum(rules[:, i].astype(np.int64) - first, 0)] if len(rules) else 0) for i in (0, 1)]
-        new = side[0] + side[1]
-        if (new == length).all():
-            break
-        length = new
-    return length.astype(np.uint32)
+    """Number of ids under each rule. A rule names earlier ones alone, so one walk in their order does for any nesting."""
+    length = [1] * first
+    for a, b in rules.tolist():
+        length.append(length[a] + length[b])
+    return np.array(length[first:], np.uint64)
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int = FIRST) -> np.ndarray:

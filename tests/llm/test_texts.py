@@ -138,6 +138,14 @@ def test_grammar_round_trip():
     assert len(repair.compress(np.array([2, 3] * 500, np.uint16), least=2)[0]) < 200
 
 
+def test_rules_nested_deeply():
+    """A chain in which every rule adds an id to the one before."""
+    first = repair.FIRST
+    rules = np.array([[2, 3]] + [[first + i, 4] for i in range(299)], np.uint16)
+    assert repair.expansion(rules).tolist() == [i + 2 for i in range(300)]
+    assert repair.expand(np.array([first + 299]), rules).tolist() == [2, 3] + [4] * 299
+
+
 def test_random_access():
     rng = np.random.default_rng(3)
     docs = [np.r_[rng.integers(2, 9, n), 1].astype(np.uint16) for n in (0, 1, 2, 50, 500, 3, 0)]
