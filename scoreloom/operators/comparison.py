@@ -2,32 +2,134 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.hashing import sha_int
 from ..functions.numbers import grid, huber, let, softmax, total
+from ..session import materialize
 from .metrics import regression_metrics
 
 # ----------------------------------------------------------------- bootstrap
 
 
-def hash_draws(df: DataFrame, *, stratum: str, order: str, resamples: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rows with s and their 1-based rank k, draws (iteration, s, k, times)) of stratified resamples with replacement.
+#: Draws that one hash gives; joint cells up to which a task holds all of them.
+LANES, CELLS = 8, 1_000_000
+
+
+@dataclass(frozen=True)
+class Sums:
+    """A metric of sums over rows: ``features(gold, pred)`` gives columns, which add up whatever the order of rows; ``finish`` makes the metric of their sums (... x columns)."""
+
+    features: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], np.ndarray]
+
+
+def _root(sums: np.ndarray) -> np.ndarray:
+    return np.sqrt(sums[..., 1] / sums[..., 0])
+
+
+RMSE = Sums(lambda g, p: np.stack([np.ones_like(g), (p - g) * (p - g)], 1), _root)
+
+
+def weighted_spearman(gold: np.ndarray, pred: np.ndarray, weight: np.ndarray) -> float:
+    """Rank correlation of rows that count ``weight`` times, ties by average rank; 0 where a side is constant."""
+
+    def ranks(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        _, code = np.unique(x, return_inverse=True)
+        n = np.bincount(code, w)
+        return (np.cumsum(n) - n / 2 + 0.5)[code]
+
+    n = weight.sum()
+    if n < 2:
+        return 0.0
+    here = weight > 0
+    w = weight[here]
+    g, p = ranks(gold[here], w), ranks(pred[here], w)
+    g, p = g - (w * g).sum() / n, p - (w * p).sum() / n
+    var = (w * g * g).sum() * (w * p * p).sum()
+    return float((w * g * p).sum() / np.sqrt(var)) if var > 0 else 0.0
 
-    Draw d of stratum s in iteration i takes the row of rank pmod(hash(seed|i|s|d), n_s) + 1. So draws are
-    rows, counted before they meet the data, and any engine can redo them. Strata keep their sizes.
+
+#: A metric is ``Sums``, or a function of gold, predictions and how often each row counts.
+METRICS: dict[str, Sums | Callable[[np.ndarray, np.ndarray, np.ndarray], float]] = {"rmse": RMSE, "spearman": weighted_spearman}
+
+
+def joint_rows(scores: DataFrame, key: str, a: str, b: str, stratum: str) -> DataFrame:
+    """(s, key, of): each key's scores in all traits, of = sorted array of (trait, gold, a, b)."""
+    of = F.sort_array(F.collect_list(F.struct("trait", F.col("gold").cast("double").alias("gold"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))))  # a row a trait
+    return scores.groupBy(F.col(stratum).cast("string").alias("s"), F.col(key).alias("key")).agg(of.alias("of"))
+
+
+def hash_draws(rows: DataFrame, *, resamples: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rows (s, key, of) with their 1-based rank k, draws (iteration, s, k, times)) of stratified resamples with replacement.
+
+    Draw d of stratum s in iteration i takes the row of rank pmod(32 bits of hash(seed|i|s|d / 8), n_s) + 1, rows ranked by
+    their scores and then their key; so draws are rows, and any engine can redo them. Strata keep their sizes.
     """
-    ranked = df.withColumn("s", F.col(stratum)).withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy(order)))
-    sizes = df.groupBy(F.col(stratum).alias("s")).agg(F.count("*").alias("n"))
-    per = df.sparkSession.range(resamples).select(F.col("id").alias("iteration")).join(F.broadcast(sizes))  # strata are few
-    draws = per.select("iteration", "s", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("d"))
-    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("s"), F.col("d").cast("string")), 256)
-    draws = draws.select("iteration", "s", (F.pmod(sha_int(h, 7), F.col("n")) + 1).cast("int").alias("k"))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("of", "key")))
+    sizes = rows.groupBy("s").agg(F.count("*").alias("n"))
+    per = rows.sparkSession.range(resamples).select(F.col("id").alias("iteration")).join(F.broadcast(sizes))  # strata are few
+    hashed = per.select("iteration", "s", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LANES))).alias("d"))
+    hashed = hashed.withColumn("h", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("s"), F.col("d").cast("string")), 256))
+    lane = F.explode(F.sequence(F.lit(0), F.least(F.lit(LANES), F.col("n") - F.col("d") * LANES).cast("int") - 1))
+    draws = hashed.select("iteration", "s", "n", "h", lane.alias("j"))
+    draws = draws.select("iteration", "s", (F.pmod(F.conv(F.substr("h", F.col("j") * 8 + 1, F.lit(8)), 16, 10).cast("long"), F.col("n")) + 1).cast("int").alias("k"))
     return ranked, draws.groupBy("iteration", "s", "k").agg(F.count("*").alias("times"))
 
 
+def _times(seed: int, iteration: int, stratum: str, sizes: np.ndarray, draws: str) -> np.ndarray:
+    """How often each cell of a stratum (of ``sizes`` rows) is drawn."""
+    n = int(sizes.sum())
+    name = f"{seed}|{iteration}|{stratum}|"
+    if draws == "multinomial":
+        rng = np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.sha256(name.encode()).digest()[:16], "big")))
+        return rng.multinomial(n, sizes / n)
+    raw = b"".join(hashlib.sha256(f"{name}{d}".encode()).digest() for d in range(-(-n // LANES)))
+    return np.bincount(np.searchsorted(np.cumsum(sizes), np.frombuffer(raw, ">u4")[:n] % n, "right"), minlength=len(sizes))
+
+
+def cell_bootstrap(cells: DataFrame, *, resamples: int, seed: int, metrics: dict[str, Sums | Callable], draws: str) -> DataFrame:
+    """(iteration, trait, metric, a, b): each side's metric in each resample, from joint cells (s, of, m).
+
+    A task draws how often each cell counts in its iterations and folds the counts with the cells' features, so there
+    is no row a draw and no shuffle; iteration -1 counts the cells as they are.
+    """
+    spark, held = cells.sparkSession, cells.orderBy("s", "of").toArrow()  # bounded by the caller
+    strata, first = np.unique(np.array(held.column("s").to_pylist(), object).astype(str), return_index=True) if held.num_rows else (np.zeros(0, str), np.zeros(0, int))
+    size = held.column("m").to_numpy()
+    lists = held.column("of").combine_chunks()
+    flat = lists.flatten()
+    at = np.repeat(np.arange(held.num_rows), lists.value_lengths().to_numpy())
+    names = np.array(flat.field("trait").to_pylist(), object)
+    by_trait = {t: (at[names == t], *(flat.field(c).to_numpy(zero_copy_only=False)[names == t] for c in ("gold", "a", "b"))) for t in dict.fromkeys(names.tolist())}
+    shared = spark.sparkContext.broadcast((strata.tolist(), [*first.tolist(), held.num_rows], size, by_trait))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strata, bounds, size, by_trait = shared.value
+        features = {(t, m, x): f.features(gold, p) for t, (_, gold, *sides) in by_trait.items() for m, f in metrics.items() if isinstance(f, Sums) for x, p in zip("ab", sides, strict=True)}
+        for batch in batches:
+            out = []
+            for i in batch.column(0).to_pylist():
+                w = size.astype(float) if i < 0 else np.concatenate([np.zeros(0), *(_times(seed, i, s, size[j:k], draws) for s, j, k in zip(strata, bounds, bounds[1:], strict=False))])
+                for t, (cell, gold, *sides) in by_trait.items():
+                    for m, f in metrics.items():
+                        both = [float(f.finish(w[cell] @ features[t, m, x])) if isinstance(f, Sums) else float(f(gold, p, w[cell])) for x, p in zip("ab", sides, strict=True)]
+                        out.append((i, t, m, *both))
+            i, t, m, a, b = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.string()), pa.array(m, pa.string()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["iteration", "trait", "metric", "a", "b"])
+
+    tasks = min(resamples + 1, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(-1, resamples, 1, tasks).mapInArrow(run, "iteration long, trait string, metric string, a double, b double")
+
+
 def summarize(deltas: DataFrame, column: str, *, by: tuple[str, ...] = (), confidence: float = 0.95, higher_is_better: bool | Column = False) -> DataFrame:
     """One row (of each ``by``): mean, sd, interval, and the probability of being better; ties count half."""
     d = F.col(column)
@@ -38,31 +140,44 @@ def summarize(deltas: DataFrame, column: str, *, by: tuple[str, ...] = (), confi
     return got.select(*by, "mean", "sd", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "p_better")
 
 
-def bootstrap_metrics(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42, metrics: tuple[str, ...] = ("rmse", "spearman")) -> DataFrame:
+def bootstrap_metrics(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42, metrics: dict[str, Sums | Callable] | None = None, draws: str = "hash", cells: int = CELLS) -> DataFrame:
     """(iteration, metric, delta): a minus b in each metric, trait and macro (mean over traits); iteration -1 holds the observed rows.
 
-    ``scores``: key, stratum, trait, gold, a and b. A resample is the cells (trait, source, gold, prediction) of its
-    draws; metrics and average ranks come from cells, so no task holds a resample.
+    ``scores``: key, stratum, trait, gold, a and b, no nulls; a key stands for one row of each of its traits, and rows with the same scores in all
+    of them are one joint cell. ``draws``: ``hash`` (see ``hash_draws``) or ``multinomial``, whose work does not grow with the rows of a cell.
+    Up to ``cells`` joint cells, tasks hold them all; beyond, draws by hash are rows that meet their cells by a shuffle, for the two built-in metrics.
     """
-    long = scores.groupBy(stratum, key).agg(F.collect_list(F.struct("trait", "gold", F.col(a).alias("a"), F.col(b).alias("b"))).alias("of"))  # a row a trait
-    ranked, draws = hash_draws(long, stratum=stratum, order=key, resamples=resamples, seed=seed)
+    use = METRICS if metrics is None else metrics
+    rows = joint_rows(scores, key, a, b, stratum)
+    joint = rows.groupBy("s", "of").agg(F.count("*").alias("m"))
+    if joint.count() <= cells:
+        got = cell_bootstrap(joint, resamples=resamples, seed=seed, metrics=use, draws=draws)
+    elif metrics is None and draws == "hash":
+        got = _shuffled(rows, resamples=resamples, seed=seed)
+    else:
+        raise ValueError(f"more than {cells} joint cells: round the scores, or take the built-in metrics by hash")
+    per = got.select("iteration", "trait", "metric", (F.col("a") - F.col("b")).alias("delta"))
+    per = per.unionByName(per.groupBy("iteration", "metric").agg(F.avg("delta").alias("delta")).withColumn("trait", F.lit("macro")))
+    return per.select("iteration", F.concat("metric", F.lit("_"), "trait").alias("metric"), F.round("delta", 12).alias("delta"))
+
+
+def _shuffled(rows: DataFrame, *, resamples: int, seed: int) -> DataFrame:
+    """The same for more joint cells than a task should hold: (iteration, trait, metric, a, b)."""
+    ranked, draws = hash_draws(rows, resamples=resamples, seed=seed)
     drawn = ranked.select(F.lit(-1).cast("long").alias("iteration"), "of", F.lit(1).cast("long").alias("times")).unionByName(draws.join(ranked, ["s", "k"]).select("iteration", "of", "times"))
     each = drawn.select("iteration", "times", F.explode("of").alias("x")).select("iteration", "times", "x.*")
     side = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("pred")) for k in ("a", "b")]))
     cell = each.select("iteration", "times", "trait", "gold", side.alias("y")).groupBy("iteration", "y.side", "trait", "gold", "y.pred").agg(F.sum("times").alias("n"))
     got = regression_metrics(cell, ["iteration", "side", "trait"])
-    delta = [F.sum(F.when(F.col("side") == "a", F.col(m)).otherwise(-F.col(m))).alias(m) for m in metrics]
-    per = got.groupBy("iteration", "trait").agg(*delta)
-    per = per.unionByName(per.groupBy("iteration").agg(*[F.avg(m).alias(m) for m in metrics]).withColumn("trait", F.lit("macro")))
-    rows = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{m}_"), F.col("trait")).alias("metric"), F.round(m, 12).alias("delta")) for m in metrics]))
-    return per.select("iteration", rows.alias("z")).select("iteration", "z.*")
+    sides = got.groupBy("iteration", "trait").agg(*[F.max(F.when(F.col("side") == x, F.col(m))).alias(f"{m}_{x}") for m in METRICS for x in "ab"])
+    return sides.select("iteration", "trait", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_a").alias("a"), F.col(f"{m}_b").alias("b")) for m in METRICS])).alias("z")).select("iteration", "trait", "z.*")
 
 
-def bootstrap_report(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """A row per metric: observed difference a minus b (point), mean, sd, interval and probability that a is better."""
-    d = bootstrap_metrics(scores, key, a, b, stratum=stratum, resamples=resamples, seed=seed)
+def bootstrap_report(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42, higher: tuple[str, ...] = ("spearman",), **kw) -> DataFrame:
+    """A row per metric: observed difference a minus b (point), mean, sd, interval and probability that a is better; metrics in ``higher`` are better when they are larger. ``kw``: see ``bootstrap_metrics``."""
+    d = materialize(bootstrap_metrics(scores, key, a, b, stratum=stratum, resamples=resamples, seed=seed, **kw), "resamples")
     point = d.where("iteration < 0").select("metric", F.col("delta").alias("point"))
-    return summarize(d.where("iteration >= 0"), "delta", by=("metric",), higher_is_better=F.startswith(F.col("metric"), F.lit("spearman"))).join(point, "metric")
+    return summarize(d.where("iteration >= 0"), "delta", by=("metric",), higher_is_better=reduce(Column.__or__, [F.startswith(F.col("metric"), F.lit(f"{m}_")) for m in higher], F.lit(False))).join(point, "metric")
 
 
 # --------------------------------------------------------------------- gates

@@ -98,9 +98,10 @@ def _corr(x: str, y: str) -> str:
 
 
 _KEY = "PARTITION BY i, side, trait"
-BOOT_SQL = f"""WITH {SCORES}, d AS (SELECT prompt_num AS s, dense_rank() OVER (PARTITION BY prompt_num ORDER BY doc_id) AS k, trait, gold, alpha, beta FROM scores),
-n AS (SELECT lang AS s, count(*) AS n FROM documents GROUP BY lang), w AS (SELECT i, s, n, unnest(range(1, n + 1)) AS j FROM range({RESAMPLES}) t(i), n), h AS (SELECT i, s, k, count(*) AS t FROM (SELECT i, s, ('0x' || substr(sha256('42|' || i || '|' || s || '|' || j), 1, 7))::BIGINT % n + 1 AS k FROM w) GROUP BY ALL),
-u AS (SELECT -1 AS i, trait, gold, alpha, beta, 1 AS t FROM d UNION ALL SELECT i, trait, gold, alpha, beta, t FROM h JOIN d USING (s, k)),
+BOOT_SQL = f"""WITH {SCORES}, d AS (SELECT prompt_num AS s, trait, gold, alpha, beta, doc_id FROM scores), o AS (SELECT s, doc_id, list([gold, alpha, beta] ORDER BY trait) AS sig FROM d GROUP BY ALL),
+o2 AS (SELECT doc_id, row_number() OVER (PARTITION BY s ORDER BY sig, doc_id) AS k FROM o), dk AS (SELECT d.*, k FROM d JOIN o2 USING (doc_id)),
+n AS (SELECT lang AS s, count(*) AS n FROM documents GROUP BY lang), w AS (SELECT i, s, n, unnest(range(0, n)) AS j FROM range({RESAMPLES}) t(i), n), h AS (SELECT i, s, k, count(*) AS t FROM (SELECT i, s, ('0x' || substr(sha256('42|' || i || '|' || s || '|' || (j // 8)), 1 + 8 * (j % 8), 8))::BIGINT % n + 1 AS k FROM w) GROUP BY ALL),
+u AS (SELECT -1 AS i, trait, gold, alpha, beta, 1 AS t FROM dk UNION ALL SELECT i, trait, gold, alpha, beta, t FROM h JOIN dk USING (s, k)),
 c AS (SELECT i, side, trait, gold AS g, p, sum(t)::DOUBLE AS n FROM (SELECT *, 'a' AS side, alpha AS p FROM u UNION ALL SELECT *, 'b', beta FROM u) GROUP BY ALL),
 k AS (SELECT *, sum(n) OVER ({_KEY} ORDER BY g) - sum(n) OVER ({_KEY}, g) / 2 + 0.5 AS rg, sum(n) OVER ({_KEY} ORDER BY p) - sum(n) OVER ({_KEY}, p) / 2 + 0.5 AS rp FROM c),
 m AS (SELECT i, side, trait, sqrt(sum(n * (p - g) * (p - g)) / sum(n)) AS rmse, CASE WHEN sum(n) < 2 OR min(g) = max(g) OR min(p) = max(p) THEN 0 ELSE {_corr('rg', 'rp')} END AS spearman FROM k GROUP BY ALL),
@@ -219,7 +220,7 @@ QUERIES = {
     "embedding_check": (embedding_check, EMBEDDING_SQL),
     "prediction_round_trip": (serialized, SERIAL_SQL),
     "paired_bootstrap": (bootstrap("beta"), BOOT_SQL),
-    "bootstrap_report": (bootstrap("gamma"), BOOT_SQL.replace("trait, gold, alpha, beta", "trait, gold, alpha, gamma").replace("'b', beta", "'b', gamma")),
+    "bootstrap_report": (bootstrap("gamma"), BOOT_SQL.replace("gold, alpha, beta", "gold, alpha, gamma").replace("'b', beta", "'b', gamma")),
     "judge_tally": (judge, JUDGE_SQL),
     "attempt_seeds": (seeds, "SELECT 'R' || doc_id AS review_id, ('0x' || substr(sha256('2026' || chr(0) || 'R' || doc_id || chr(0) || '1'), 1, 8))::BIGINT & 2147483647 AS seed FROM documents"),
     "epoch_policy": (epochs, EPOCH_SQL),

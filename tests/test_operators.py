@@ -249,10 +249,62 @@ def test_bootstrap_of_equal_predictions(spark):
     d = spark.createDataFrame([(i, "AB"[i % 2], t, 1.0 + i % 3, 2.0, 2.0) for i in range(20) for t in comparison.CRITERIA[:2]], "k int, s string, trait string, gold double, a double, b double")
     for r in comparison.bootstrap_report(d, "k", "a", "b", stratum="s", resamples=10).collect():
         assert (r.point, r.mean, r.sd, r.p_better) == (0, 0, 0, 0.5)
-    _, draws = comparison.hash_draws(d.where(f"trait = '{comparison.CRITERIA[0]}'"), stratum="s", order="k", resamples=10)
+    _, draws = comparison.hash_draws(comparison.joint_rows(d, "k", "a", "b", "s"), resamples=10)
     assert {tuple(r) for r in draws.groupBy("iteration", "s").agg(F.sum("times")).select("s", "sum(times)").collect()} == {("A", 10), ("B", 10)}
 
 
+def _paired(spark, n=60):
+    rng = np.random.default_rng(8)
+    rows = [(i, ["A", "B", "C"][i % 3] if i < 50 else "D", t, float(rng.integers(4, 20)) / 4, float(rng.integers(4, 20)) / 4, float(rng.integers(8, 12)) / 4) for i in range(n) for t in ("x", "y")]
+    rows += [(1000 + i, "A", t, 2.0, 3.0, 2.0) for i in range(30) for t in ("x", "y")]  # one joint cell
+    return spark.createDataFrame(rows, "k int, s string, trait string, gold double, a double, b double").repartition(3)
+
+
+def test_bootstrap_draws_cells_as_rows(spark):
+    """Cells held by tasks, rows met by a shuffle and a plain loop give the same resamples."""
+    d = _paired(spark)
+    get = lambda **kw: {(r.iteration, r.metric): r.delta for r in comparison.bootstrap_metrics(d, "k", "a", "b", stratum="s", resamples=7, **kw).collect()}
+    got = get()
+    shuffled = get(cells=0)
+    assert got.keys() == shuffled.keys() and len(got) == 8 * 6
+    assert all(abs(got[k] - shuffled[k]) < 1e-9 for k in got)
+    wide = d.toPandas().pivot(index="k", columns="trait")
+    wide = wide.assign(s=wide["s"]["x"]).drop(columns=[("s", "y")], errors="ignore")
+    order = [(c, t) for t in ("x", "y") for c in ("gold", "a", "b")]
+    for i in range(7):
+        rows = []
+        for stratum, part in wide.groupby(wide["s"].iloc[:, 0] if hasattr(wide["s"], "columns") else wide["s"]):
+            part = part.assign(key=part.index).sort_values([*order, ("key", "")]).reset_index(drop=True)
+            for j in range(len(part)):
+                h = hashlib.sha256(f"42|{i}|{stratum}|{j // 8}".encode()).hexdigest()[8 * (j % 8) : 8 * (j % 8) + 8]
+                rows.append(part.iloc[int(h, 16) % len(part)])
+        x = pd.DataFrame(rows)
+        e = {c: np.sqrt(((x[(c, "x")] - x[("gold", "x")]).astype(float) ** 2).mean()) for c in ("a", "b")}
+        r = {c: x[(c, "x")].astype(float).rank().corr(x[("gold", "x")].astype(float).rank()) for c in ("a", "b")}
+        assert got[i, "rmse_x"] == pytest.approx(e["a"] - e["b"], abs=1e-9) and got[i, "spearman_x"] == pytest.approx(r["a"] - r["b"], abs=1e-9)
+
+
+def test_bootstrap_takes_metrics_of_its_own(spark):
+    d = _paired(spark)
+    bias = comparison.Sums(lambda g, p: np.stack([np.ones_like(g), p - g], 1), lambda s: s[..., 1] / s[..., 0])
+    far = lambda g, p, w: (w * (np.abs(p - g) > 1)).sum() / w.sum()
+    many = comparison.bootstrap_report(d, "k", "a", "b", stratum="s", resamples=400, metrics={"bias": bias, "far": far}, draws="multinomial", higher=())
+    got = {r.metric: r for r in many.collect()}
+    assert set(got) == {f"{m}_{t}" for m in ("bias", "far") for t in ("x", "y", "macro")}
+    x = d.where("trait = 'x'").toPandas()
+    assert got["bias_x"].point == pytest.approx((x.a - x.b).mean())
+    assert got["far_x"].point == pytest.approx(((x.a - x.gold).abs() > 1).mean() - ((x.b - x.gold).abs() > 1).mean())
+    within = x.assign(d=x.a - x.b).groupby("s").d
+    assert got["bias_x"].sd == pytest.approx(np.sqrt((within.size() * within.var(ddof=0)).sum()) / len(x), rel=0.15)  # of a stratified mean
+    assert got["bias_x"].mean == pytest.approx(got["bias_x"].point, abs=4 * got["bias_x"].sd / 20)
+    with pytest.raises(ValueError, match="joint cells"):
+        comparison.bootstrap_metrics(d, "k", "a", "b", stratum="s", metrics={"far": far}, cells=3)
+
+
+def test_bootstrap_of_nothing(spark):
+    assert comparison.bootstrap_report(_paired(spark).where("false"), "k", "a", "b", stratum="s", resamples=3).count() == 0
+
+
 def test_bootstrap_report(spark):
     from scoreloom.plans.essays import sources_long
 
