@@ -39,27 +39,37 @@ def _root(sums: np.ndarray) -> np.ndarray:
 RMSE = Sums(lambda g, p: np.stack([np.ones_like(g), (p - g) * (p - g)], 1), _root)
 
 
-def weighted_spearman(gold: np.ndarray, pred: np.ndarray, weight: np.ndarray) -> float:
-    """Rank correlation of rows that count ``weight`` times, ties by average rank; 0 where a side is constant."""
+@dataclass(frozen=True)
+class Prepared:
+    """A metric of rows and how often each counts: ``prepare(gold, pred)`` once a task, ``finish(that, weight)`` each resample."""
+
+    prepare: Callable[[np.ndarray, np.ndarray], object]
+    finish: Callable[[object, np.ndarray], float]
+
 
-    def ranks(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        _, code = np.unique(x, return_inverse=True)
-        n = np.bincount(code, w)
-        return (np.cumsum(n) - n / 2 + 0.5)[code]
+def _codes(gold: np.ndarray, pred: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(x, return_inverse=True)[1] for x in (gold, pred)]
 
+
+def _rank_correlation(codes: list[np.ndarray], weight: np.ndarray) -> float:
+    """Spearman's, ties by average rank; 0 where a side is constant."""
     n = weight.sum()
     if n < 2:
         return 0.0
-    here = weight > 0
-    w = weight[here]
-    g, p = ranks(gold[here], w), ranks(pred[here], w)
-    g, p = g - (w * g).sum() / n, p - (w * p).sum() / n
-    var = (w * g * g).sum() * (w * p * p).sum()
-    return float((w * g * p).sum() / np.sqrt(var)) if var > 0 else 0.0
+    sides = []
+    for code in codes:
+        w = np.bincount(code, weight)
+        rank = np.cumsum(w) - w / 2 + 0.5
+        sides.append((rank - (w * rank).sum() / n)[code])
+    g, p = sides
+    weighted = weight * g
+    var = (weighted @ g) * ((weight * p) @ p)
+    return float(weighted @ p / np.sqrt(var)) if var > 0 else 0.0
 
 
-#: A metric is ``Sums``, or a function of gold, predictions and how often each row counts.
-METRICS: dict[str, Sums | Callable[[np.ndarray, np.ndarray, np.ndarray], float]] = {"rmse": RMSE, "spearman": weighted_spearman}
+#: A metric is ``Sums``, ``Prepared``, or a function of gold, predictions and how often each row counts.
+Metric = Sums | Prepared | Callable[[np.ndarray, np.ndarray, np.ndarray], float]
+METRICS: dict[str, Metric] = {"rmse": RMSE, "spearman": Prepared(_codes, _rank_correlation)}
 
 
 def joint_rows(scores: DataFrame, key: str, a: str, b: str, stratum: str) -> DataFrame:
@@ -96,7 +106,7 @@ def _times(seed: int, iteration: int, stratum: str, sizes: np.ndarray, draws: st
     return np.bincount(np.searchsorted(np.cumsum(sizes), np.frombuffer(raw, ">u4")[:n] % n, "right"), minlength=len(sizes))
 
 
-def cell_bootstrap(cells: DataFrame, *, resamples: int, seed: int, metrics: dict[str, Sums | Callable], draws: str) -> DataFrame:
+def cell_bootstrap(cells: DataFrame, *, resamples: int, seed: int, metrics: dict[str, Metric], draws: str) -> DataFrame:
     """(iteration, trait, metric, a, b): each side's metric in each resample, from joint cells (s, of, m).
 
     A task draws how often each cell counts in its iterations and folds the counts with the cells' features, so there
@@ -114,15 +124,18 @@ def cell_bootstrap(cells: DataFrame, *, resamples: int, seed: int, metrics: dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strata, bounds, size, by_trait = shared.value
-        features = {(t, m, x): f.features(gold, p) for t, (_, gold, *sides) in by_trait.items() for m, f in metrics.items() if isinstance(f, Sums) for x, p in zip("ab", sides, strict=True)}
+        ready = {(t, m, x): f.features(gold, p) if isinstance(f, Sums) else f.prepare(gold, p) if isinstance(f, Prepared) else (gold, p) for t, (_, gold, *sides) in by_trait.items() for m, f in metrics.items() for x, p in zip("ab", sides, strict=True)}
+
+        def value(f: Metric, of: object, w: np.ndarray) -> float:
+            return float(f.finish(w @ of) if isinstance(f, Sums) else f.finish(of, w) if isinstance(f, Prepared) else f(*of, w))
+
         for batch in batches:
             out = []
             for i in batch.column(0).to_pylist():
                 w = size.astype(float) if i < 0 else np.concatenate([np.zeros(0), *(_times(seed, i, s, size[j:k], draws) for s, j, k in zip(strata, bounds, bounds[1:], strict=False))])
-                for t, (cell, gold, *sides) in by_trait.items():
-                    for m, f in metrics.items():
-                        both = [float(f.finish(w[cell] @ features[t, m, x])) if isinstance(f, Sums) else float(f(gold, p, w[cell])) for x, p in zip("ab", sides, strict=True)]
-                        out.append((i, t, m, *both))
+                for t, (cell, *_) in by_trait.items():
+                    mine = w[cell]
+                    out += [(i, t, m, *(value(f, ready[t, m, x], mine) for x in "ab")) for m, f in metrics.items()]
             i, t, m, a, b = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.string()), pa.array(m, pa.string()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["iteration", "trait", "metric", "a", "b"])
 
@@ -140,7 +153,7 @@ def summarize(deltas: DataFrame, column: str, *, by: tuple[str, ...] = (), confi
     return got.select(*by, "mean", "sd", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "p_better")
 
 
-def bootstrap_metrics(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42, metrics: dict[str, Sums | Callable] | None = None, draws: str = "hash", cells: int = CELLS) -> DataFrame:
+def bootstrap_metrics(scores: DataFrame, key: str, a: str, b: str, *, stratum: str = "prompt_num", resamples: int = 2000, seed: int = 42, metrics: dict[str, Metric] | None = None, draws: str = "hash", cells: int = CELLS) -> DataFrame:
     """(iteration, metric, delta): a minus b in each metric, trait and macro (mean over traits); iteration -1 holds the observed rows.
 
     ``scores``: key, stratum, trait, gold, a and b, no nulls; a key stands for one row of each of its traits, and rows with the same scores in all

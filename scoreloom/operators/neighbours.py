@@ -32,6 +32,20 @@ def _units(queries: DataFrame, bank: DataFrame, block: int) -> DataFrame:
     return q.select(*cols, none.alias("scores"), F.lit(True).alias("query")).unionByName(b.select(*cols, "scores", F.lit(False).alias("query")))
 
 
+def _first(sim: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k largest finite entries; of equal ones the earlier, so copies of a vector give no more than k."""
+    keep = np.isfinite(sim)
+    if sim.shape[1] <= k:
+        return keep
+    least = np.partition(sim, -k, axis=1)[:, -k, None]
+    keep &= sim >= least
+    for i in np.flatnonzero(keep.sum(1) > k):
+        above = sim[i] > least[i]
+        tied = np.flatnonzero(keep[i] & ~above)
+        keep[i, tied[k - int(above.sum()) :]] = False
+    return keep
+
+
 def knn(queries: DataFrame, bank: DataFrame, *, k: int = K, temperature: float = TEMPERATURE, block: int = BLOCK, unknown: str = "global", other_folds: bool = False) -> DataFrame:
     """Per query: id, pred (array of traits), mean_distance, variance, fallback, neighbours.
 
@@ -57,9 +71,7 @@ def knn(queries: DataFrame, bank: DataFrame, *, k: int = K, temperature: float =
         sim[mine[:, None] == ids] = -np.inf
         if other_folds:
             sim[q["fold"].to_numpy()[:, None] == folds] = -np.inf
-        # all that reach the k-th similarity; ranks over all blocks settle ties
-        least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(sim), -np.inf)
-        i, j = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+        i, j = np.nonzero(_first(sim, k))
         return pd.DataFrame({"id": mine[i], "near": ids[j], "sim": sim[i, j], "scores": pd.Series([list(x) for x in b["scores"].to_numpy()[j]], dtype=object)})
 
     kind = dict(queries.dtypes)["id"]

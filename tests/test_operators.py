@@ -245,6 +245,19 @@ def test_text_functions(spark):
 # ---------------------------------------------------------------- comparison
 
 
+def test_copies_give_k_neighbours():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        sim = rng.integers(0, 4, (30, 50)) / 4.0
+        sim[rng.random((30, 50)) < 0.2] = -np.inf
+        sim[:3] = 1.0
+        keep = neighbours._first(sim, 5)
+        for row, mine in zip(sim, keep, strict=True):
+            want = sorted((j for j in range(50) if np.isfinite(row[j])), key=lambda j: (-row[j], j))[:5]
+            assert np.flatnonzero(mine).tolist() == sorted(want)
+    assert neighbours._first(np.array([[1.0, -np.inf]]), 5).tolist() == [[True, False]]
+
+
 def test_bootstrap_of_equal_predictions(spark):
     d = spark.createDataFrame([(i, "AB"[i % 2], t, 1.0 + i % 3, 2.0, 2.0) for i in range(20) for t in comparison.CRITERIA[:2]], "k int, s string, trait string, gold double, a double, b double")
     for r in comparison.bootstrap_report(d, "k", "a", "b", stratum="s", resamples=10).collect():
