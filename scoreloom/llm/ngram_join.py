@@ -25,7 +25,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +80,9 @@ def _post(k: int, buckets: int, most: int = 1_500_000):
             who, at = np.unique(r, return_inverse=True)
             gap = np.diff(t, prepend=t[:1])
             wide = bool(gap.max() >> U64(32))
-            body = t.tobytes() if wide else t[:1].tobytes() + gap.astype(np.uint32).tobytes()
-            head = np.array([len(who), len(t), wide], np.int64).tobytes()
+            body = t.tobytes() if wide else gap.astype(np.uint32).tobytes()
+            marks = np.searchsorted(t, _bounds(b, buckets, _marks(len(t))))  # where each range begins, and its first token
+            head = np.array([len(who), len(t), wide], np.int64).tobytes() + t[np.minimum(marks, len(t) - 1)].tobytes() + marks.astype(np.int64).tobytes()
             out.append((b, head + fp[who].tobytes() + sizes[who].astype(np.int32).tobytes() + at.astype(np.uint16).tobytes(), body))
             if len(out) >= 256:
                 yield _blobs(out)
@@ -124,27 +125,70 @@ def _blobs(out: list[tuple]) -> pa.RecordBatch:
     return _rows([x[0] for x in out], [1] * len(out), none, none, z, z, [x[1] for x in out], [x[2] for x in out])
 
 
-def _unblob(head: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    who, n, wide = np.frombuffer(head, np.int64, 3)
-    fp = np.frombuffer(head, np.int64, who, 24)
-    size = np.frombuffer(head, np.int32, who, 24 + 8 * who)
-    at = np.frombuffer(head, np.uint16, n, 24 + 12 * who)
-    tok = np.frombuffer(body, U64) if wide else np.frombuffer(body, U64, 1) + np.cumsum(np.frombuffer(body, np.uint32, n, 8), dtype=U64)
-    return tok, fp[at], size[at]
-
-
-def _repeated(runs: list[tuple[bytes, bytes]], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(token, set, set's size, list's length) of lists of two or more sets, range by range of tokens: runs stay packed but for the range at hand."""
-    total = sum(int(np.frombuffer(head, np.int64, 1, 8)[0]) for head, _ in runs)
-    sample = np.concatenate([_unblob(*r)[0][::64] for r in runs])
-    cuts = np.unique(np.quantile(sample.astype(np.float64), np.linspace(0, 1, -(-total // most) + 1)[1:-1]).astype(U64)) if total > most else np.zeros(0, U64)
-    for lo, hi in zip([None, *cuts.tolist()], [*cuts.tolist(), None], strict=True):
-        got = []
-        for r in runs:
-            tok, fp, n = _unblob(*r)
-            a = np.searchsorted(tok, U64(lo)) if lo is not None else 0
-            z = np.searchsorted(tok, U64(hi)) if hi is not None else len(tok)
-            got.append((tok[a:z], fp[a:z], n[a:z]))
+#: Ranges of tokens that a long run of postings can be read by; shorter runs have a fourth, or one.
+RANGES = 64
+
+
+def _marks(n: int) -> int:
+    return RANGES if n >= 4096 else RANGES // 4 if n >= 1024 else 1
+
+
+def _bounds(bucket: int, buckets: int, ranges: int) -> np.ndarray:
+    """First token of each range of a bucket."""
+    lo, hi = ((bucket + i) * (1 << 48) // buckets for i in (0, 1))
+    return np.array([lo + (hi - lo) * i // ranges for i in range(ranges)], U64)
+
+
+class _Run:
+    """A packed run of postings, sorted by token, read by ranges: only the range at hand is unpacked."""
+
+    def __init__(self, head: bytes, body: bytes) -> None:
+        who, self.n, self.wide = np.frombuffer(head, np.int64, 3).tolist()
+        k = _marks(self.n)
+        self.first = np.frombuffer(head, U64, k, 24)
+        self.at = np.append(np.frombuffer(head, np.int64, k, 24 + 8 * k), self.n)
+        o = 24 + 16 * k
+        self.fp, self.size = np.frombuffer(head, np.int64, who, o), np.frombuffer(head, np.int32, who, o + 8 * who)
+        self.who = np.frombuffer(head, np.uint16, self.n, o + 12 * who)
+        self.body = body
+
+    def counts(self) -> np.ndarray:
+        """Postings of each of RANGES ranges; those of a run with fewer ranges stand at the first of each."""
+        out = np.zeros(RANGES, np.int64)
+        out[:: RANGES // (len(self.at) - 1)] = np.diff(self.at)
+        return out
+
+    def read(self, lo: int, hi: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, set, set's size) in the ranges lo .. hi - 1 of RANGES; ``bounds`` are their first tokens."""
+        step = RANGES // (len(self.at) - 1)
+        i, j = lo // step, -(-hi // step)
+        a, z = int(self.at[i]), int(self.at[j])
+        if self.wide:
+            tok = np.frombuffer(self.body, U64, z - a, 8 * a)
+        elif a == z:
+            tok = np.zeros(0, U64)
+        else:
+            gap = np.frombuffer(self.body, np.uint32, z - a, 4 * a).astype(U64)
+            gap[0] = self.first[i]
+            tok = np.cumsum(gap, dtype=U64)
+        x = int(np.searchsorted(tok, bounds[lo])) if lo % step else 0
+        y = int(np.searchsorted(tok, bounds[hi])) if hi % step else len(tok)
+        who = self.who[a + x : a + y]
+        return tok[x:y], self.fp[who], self.size[who]
+
+
+def _repeated(packed: list[tuple[bytes, bytes]], bucket: int, buckets: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(token, set, set's size, list's length) of lists of two or more sets, by ranges of tokens that hold about ``most`` postings (or a RANGES-th of the bucket)."""
+    runs = [_Run(*r) for r in packed]
+    held, bounds = sum(r.counts() for r in runs), _bounds(bucket, buckets, RANGES)
+    lo = 0
+    while lo < RANGES:
+        hi, n = lo + 1, held[lo]
+        while hi < RANGES and n + held[hi] <= most:
+            n += held[hi]
+            hi += 1
+        got = [r.read(lo, hi, bounds) for r in runs]
+        lo = hi
         tok, fp, n = (np.concatenate([g[i] for g in got]) for i in range(3))
         del got
         order = np.lexsort((fp, tok))
@@ -159,8 +203,8 @@ def _repeated(runs: list[tuple[bytes, bytes]], most: int = 500_000) -> Iterator[
         yield tok[keep], fp[keep], n[keep], df[keep]
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's inverted lists: each set gets its shingles with lists of two or more sets, and the lists' lengths."""
+def _merge(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A bucket's inverted lists: each set gets, per range of tokens, its shingles with lists of two or more sets, and the lists' lengths."""
 
     names = ["kind", "doc_id", "th", "n", "fp", "tokens", "lists"]
 
@@ -168,25 +212,26 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls(len(n), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([1] * len(n), pa.int32()), none, none, pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(tokens, pa.binary()), pa.array(lists, pa.binary())], names)
 
-    held: dict[int, list] = {}
-    for b in batches:
-        kind = b.column(1).to_numpy()
-        docs = b.filter(pa.array(kind == 0))
-        if docs.num_rows:
-            yield pa.RecordBatch.from_arrays(docs.columns[1:], names)
-        for x in b.filter(pa.array(kind == 1)).to_pylist():
-            held.setdefault(x["bucket"], []).append((x["tokens"], x["lists"]))
-    for bucket in list(held):
-        kept = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)), *_repeated(held.pop(bucket))]
-        tok, fp, n, df = (np.concatenate([k[i] for k in kept]) for i in range(4))
-        del kept
-        order = np.argsort(fp, kind="stable")
-        tok, fp, n, df = tok[order], fp[order], n[order], df[order]
-        cut = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, np.int64)
-        end = np.r_[cut[1:], len(fp)] if len(cut) else cut
-        for i in range(0, len(cut), 8192):
-            a, z = cut[i : i + 8192], end[i : i + 8192]
-            yield out(n[a], fp[a], [tok[x:y].tobytes() for x, y in zip(a, z, strict=True)], [df[x:y].tobytes() for x, y in zip(a, z, strict=True)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            kind = b.column(1).to_numpy()
+            docs = b.filter(pa.array(kind == 0))
+            if docs.num_rows:
+                yield pa.RecordBatch.from_arrays(docs.columns[1:], names)
+            for x in b.filter(pa.array(kind == 1)).to_pylist():
+                held.setdefault(x["bucket"], []).append((x["tokens"], x["lists"]))
+        for bucket in list(held):
+            for tok, fp, n, df in _repeated(held.pop(bucket), bucket, buckets):
+                order = np.argsort(fp, kind="stable")
+                tok, fp, n, df = tok[order], fp[order], n[order], df[order]
+                cut = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, np.int64)
+                end = np.r_[cut[1:], len(fp)] if len(cut) else cut
+                for i in range(0, len(cut), 8192):
+                    a, z = cut[i : i + 8192], end[i : i + 8192]
+                    yield out(n[a], fp[a], [tok[x:y].tobytes() for x, y in zip(a, z, strict=True)], [df[x:y].tobytes() for x, y in zip(a, z, strict=True)])
+
+    return run
 
 
 def _survivors(num: int, den: int):
@@ -321,7 +366,7 @@ def near_duplicates(docs: DataFrame, *, k: int = K, num: int = NUM, den: int = D
     spark = docs.sparkSession
     buckets = max(64, C.parts(spark))
     posted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(C.lean(_post(k, buckets)), "bucket int, " + OUT)
-    merged = C.materialize(posted.repartition(buckets, "bucket").mapInArrow(C.lean(_merge), OUT), "lists")
+    merged = C.materialize(posted.repartition(buckets, "bucket").mapInArrow(C.lean(_merge(buckets)), OUT), "lists")
     sets = merged.where("kind = 0").select("doc_id", "th", "n", "fp")
     # both lists are collected in one aggregate, so their orders agree
     shared = merged.where("kind = 1").groupBy("fp").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "lists")).alias("x"))

@@ -305,3 +305,40 @@ def test_line_rows(spark):
     out = line_dedup.drop_lines(d)
     assert out.columns == d.columns and out.schema == d.schema
     assert out.where("doc_id = 10").count() == 1
+
+
+def _packed_runs(bucket, buckets, n, runs, rng):
+    """Packed runs of one bucket, as tasks post them, and their postings (token, set, size)."""
+    lo, hi = (bucket * (1 << 48) // buckets, (bucket + 1) * (1 << 48) // buckets)
+    packed, rows = [], []
+    for k in range(runs):
+        m = n if k else 700  # a short run reads by fewer ranges
+        tok = np.sort(rng.integers(lo, min(lo + 3 * n, hi) if k % 2 else hi, m).astype(np.uint64))
+        who, size = rng.integers(0, 50, m), rng.integers(5, 90, 50).astype(np.int32)
+        fp = rng.integers(-(2**62), 2**62, 50)
+        held, at = np.unique(who, return_inverse=True)
+        gap = np.diff(tok, prepend=tok[:1])
+        wide = bool(gap.max() >> np.uint64(32))
+        marks = np.searchsorted(tok, ngram_join._bounds(bucket, buckets, ngram_join._marks(m)))
+        head = np.array([len(held), m, wide], np.int64).tobytes() + tok[np.minimum(marks, m - 1)].tobytes() + marks.astype(np.int64).tobytes() + fp[held].tobytes() + size[held].tobytes() + at.astype(np.uint16).tobytes()
+        packed.append((head, tok.tobytes() if wide else gap.astype(np.uint32).tobytes()))
+        rows += zip(tok.tolist(), fp[who].tolist(), size[who].tolist(), strict=True)
+    return packed, set(rows)
+
+
+@pytest.mark.parametrize("most", [1, 4000, 10**9])
+@pytest.mark.parametrize(("bucket", "buckets"), [(0, 64), (63, 64), (5, 211)])
+def test_runs_are_read_by_ranges(most, bucket, buckets):
+    packed, rows = _packed_runs(bucket, buckets, 6000, 5, np.random.default_rng(bucket))
+    got = [tuple(x) for part in ngram_join._repeated(packed, bucket, buckets, most) for x in zip(*(c.tolist() for c in part), strict=True)]
+    n = collections.Counter(t for t, _, _ in rows)
+    assert sorted(got) == sorted((*r, n[r[0]]) for r in rows if n[r[0]] > 1)
+
+
+def test_reading_by_ranges_is_linear():
+    """Each posting is unpacked once, however many ranges a bucket has."""
+    packed, rows = _packed_runs(7, 64, 20_000, 4, np.random.default_rng(1))
+    bounds = ngram_join._bounds(7, 64, ngram_join.RANGES)
+    runs = [ngram_join._Run(*r) for r in packed[1:]]
+    assert sum(len(r.read(i, i + 1, bounds)[0]) for r in runs for i in range(ngram_join.RANGES)) == sum(r.n for r in runs) == 60_000
+    assert all((r.counts() == [len(r.read(i, i + 1, bounds)[0]) for i in range(ngram_join.RANGES)]).all() for r in runs)
