@@ -129,6 +129,27 @@ def three_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.simplex_weights(sources_long(spark, sf_dir), ["trait"], ["alpha", "beta", "gamma"], "gold", "fold"))
 
 
+_G = {f"g{i}{j}": (a, b) for i, a in enumerate("abc") for j, b in enumerate("abc") if i <= j}
+_NAMES = {"a": "alpha", "b": "beta", "c": "gamma"}
+
+
+def _edge(i: str, j: str, k: str) -> str:
+    """The best weights of two sources alone (an end is one source)."""
+    g = lambda x, y: f"g{''.join(sorted(str('abc'.index(v)) for v in (x, y)))}"
+    t = f"CASE WHEN {g(i, i)} - 2 * {g(i, j)} + {g(j, j)} <= 0 THEN 0 ELSE least(greatest((c{i} - c{j} - {g(i, j)} + {g(j, j)}) / ({g(i, i)} - 2 * {g(i, j)} + {g(j, j)}), 0), 1) END"
+    return f"SELECT *, {t} AS w{i}, 1 - ({t}) AS w{j}, 0.0 AS w{k} FROM m"
+
+
+_WEIGHTS = ", ".join(f"w{x}" for x in "abc")
+SIMPLEX_SQL = f"""WITH {SCORES}, m AS (SELECT held, trait, {', '.join(f'avg({_NAMES[a]} * {_NAMES[b]}) AS {g}' for g, (a, b) in _G.items())}, {', '.join(f'avg({v} * gold) AS c{k}' for k, v in _NAMES.items())} FROM scores JOIN range(5) t(held) ON doc_id * 7 % 5 <> held GROUP BY ALL),
+d AS (SELECT *, g00 - 2 * g02 + g22 AS p, g01 - g02 - g12 + g22 AS q, g11 - 2 * g12 + g22 AS s, ca - cc - g02 + g22 AS x, cb - cc - g12 + g22 AS y FROM m),
+face AS (SELECT * EXCLUDE (p, q, s, x, y), (s * x - q * y) / (p * s - q * q) AS wa, (p * y - q * x) / (p * s - q * q) AS wb, 1 - (s * x - q * y + p * y - q * x) / (p * s - q * q) AS wc FROM d),
+o AS (SELECT held, trait, {_WEIGHTS}, {' + '.join(f"{'' if a == b else '2 * '}w{a} * w{b} * {g}" for g, (a, b) in _G.items())} - 2 * (wa * ca + wb * cb + wc * cc) AS v
+ FROM (SELECT * FROM face WHERE least({_WEIGHTS}) >= 0 UNION ALL BY NAME {_edge('a', 'b', 'c')} UNION ALL BY NAME {_edge('a', 'c', 'b')} UNION ALL BY NAME {_edge('b', 'c', 'a')})),
+w AS (SELECT held, trait, unnest(['alpha', 'beta', 'gamma']) AS source, unnest([{_WEIGHTS}]) AS weight FROM o QUALIFY row_number() OVER (PARTITION BY held, trait ORDER BY v) = 1)
+SELECT held, trait, source, {r('weight')} AS weight, false AS degenerate FROM w"""
+
+
 def seed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sources_long(spark, sf_dir)
     tall = d.select("doc_id", "trait", F.explode(F.array("alpha", "beta", "gamma")).alias("pred"))
@@ -233,7 +254,7 @@ QUERIES = {
     "pair_weights": (two_source, PAIR_SQL),
     "weight_stability": (stability, STABILITY_SQL),
     "cross_fit_stack": (stacked, STACKED_SQL),
-    "simplex_weights": (three_source, None),
+    "simplex_weights": (three_source, SIMPLEX_SQL),
     "seed_mean": (seed_mean, SEED_SQL),
     "knn_oof": (knn_oof, KNN_SQL),
     "surface_ols_oof": (surface_ols, None),

@@ -245,6 +245,43 @@ def test_text_functions(spark):
 # ---------------------------------------------------------------- comparison
 
 
+def _optimum(gram, cross):
+    """The best of all active sets."""
+    n, best = len(cross), (np.inf, None)
+    for mask in range(1, 1 << n):
+        i = np.array([j for j in range(n) if mask >> j & 1])
+        k = np.block([[gram[np.ix_(i, i)], np.ones((len(i), 1))], [np.ones((1, len(i))), np.zeros((1, 1))]])
+        w = np.zeros(n)
+        w[i] = np.linalg.lstsq(k, np.r_[cross[i], 1.0], rcond=None)[0][:-1]
+        if (w >= -1e-9).all() and abs(w.sum() - 1) < 1e-6:
+            best = min(best, (w @ gram @ w - 2 * cross @ w, w.tolist()))
+    return best
+
+
+def test_simplex_of_many_sources():
+    rng = np.random.default_rng(5)
+    for case in range(60):
+        x = rng.normal(size=(40, 4))
+        if case % 3 == 0:
+            x[:, 3] = x[:, 1]  # a copy
+        y = x @ rng.dirichlet(np.ones(4)) + rng.normal(size=40) * (case % 2)
+        g, c = x.T @ x / 40, x.T @ y / 40
+        w = models.simplex(g, c)
+        assert (w >= 0).all() and w.sum() == pytest.approx(1)
+        assert w @ g @ w - 2 * c @ w == pytest.approx(_optimum(g, c)[0], abs=1e-8)
+    for n in (20, 60):
+        x = rng.normal(size=(200, n)) + rng.normal(size=(200, 1))
+        y = x[:, :7] @ rng.dirichlet(np.ones(7)) + rng.normal(size=200) * 0.3
+        g, c = x.T @ x / 200, x.T @ y / 200
+        w = models.simplex(g, c)
+        slope = g @ w - c
+        level = slope[w > 0]
+        assert (w >= 0).all() and w.sum() == pytest.approx(1)
+        assert np.ptp(level) < 1e-8 and (slope >= level.min() - 1e-8).all()  # Karush, Kuhn and Tucker
+    assert models.simplex(np.zeros((3, 3)), np.zeros(3)).sum() == 1
+    assert models.simplex(np.eye(1), np.ones(1)).tolist() == [1.0]
+
+
 def test_copies_give_k_neighbours():
     rng = np.random.default_rng(3)
     for _ in range(20):
