@@ -181,8 +181,9 @@ def audit(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> DataFrame:
     terms = materialize(columns(count_terms(docs), least=least), "count-columns")
     profile = materialize(profiles(docs, terms).coalesce(1), "profiles")
     distinct = terms.groupBy("lang", "of").agg(F.count("*").alias("m"))
+    sides = materialize(blocks(profile), "sides")  # written, so that Spark knows their size: small ones are broadcast and no language is dealt to one task
     a, b = (profile.select("lang", F.col("source").alias(c)) for c in ("source", "item"))
-    pairs = a.join(b, "lang").where("source <> item").join(pair_values(distinct, blocks(profile)), ["lang", "source", "item"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    pairs = a.join(b, "lang").where("source <> item").join(pair_values(distinct, sides), ["lang", "source", "item"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     both = pairs.withColumn("part", F.lit("pair")).unionByName(term_values(terms, profile, top=top).withColumn("part", F.lit("term")))
     return both.select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
