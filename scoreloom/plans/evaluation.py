@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import alignment as AL
 from ..operators import metrics as M
 from .essays import ENDED_SQL, ESSAYS, SCORES, essays, predictions, r, read, rounded, sources_long
 
@@ -141,7 +142,41 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Predictions of three sources with planted defects: rows that lack, come twice or are new, other prompts, hashes and folds."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("input_sha256"), (F.col("doc_id") % 5).alias("fold"))
+    alpha = d.select("doc_id", "id", F.col("lang").alias("prompt_num"), "input_sha256", "fold")
+    beta = alpha.where("doc_id % 11 <> 3").unionByName(alpha.where("doc_id % 19 = 1"))
+    gamma = alpha.withColumns({"id": F.when(F.col("doc_id") % 17 == 2, F.concat(F.lit("X"), "id")).otherwise(F.col("id")), "prompt_num": F.when(F.col("doc_id") % 13 == 4, "zz").otherwise(F.col("prompt_num")), "input_sha256": F.when(F.col("doc_id") % 23 == 5, F.lit(None)).otherwise(F.col("input_sha256")), "fold": F.when(F.col("doc_id") % 29 == 6, 9).otherwise(F.col("fold"))})
+    return {"alpha": alpha, "beta": beta, "gamma": gamma}
+
+
+def source_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the planted sources differ in, against the first: rows and the first five ids of each kind."""
+    got = AL.differences(_sources(spark, sf_dir), "id", ["prompt_num", "input_sha256", "fold"])
+    return got.select("source", "kind", "n", F.array_join("ids", ",").alias("ids"))
+
+
+DIFFERENCES_SQL = """WITH a AS (SELECT doc_id, 'D' || doc_id AS id FROM documents), x AS (
+SELECT 'beta' AS source, 'missing' AS kind, id FROM a WHERE doc_id % 11 = 3 AND doc_id % 19 <> 1 UNION ALL SELECT 'beta', 'repeated', id FROM a WHERE doc_id % 11 <> 3 AND doc_id % 19 = 1
+UNION ALL SELECT 'gamma', 'missing', id FROM a WHERE doc_id % 17 = 2 UNION ALL SELECT 'gamma', 'extra', 'X' || id FROM a WHERE doc_id % 17 = 2 UNION ALL SELECT 'gamma', 'prompt_num', id FROM a WHERE doc_id % 13 = 4 AND doc_id % 17 <> 2
+UNION ALL SELECT 'gamma', 'input_sha256', id FROM a WHERE doc_id % 23 = 5 AND doc_id % 17 <> 2 UNION ALL SELECT 'gamma', 'fold', id FROM a WHERE doc_id % 29 = 6 AND doc_id % 17 <> 2)
+SELECT source, kind, count(*) AS n, array_to_string(list(id ORDER BY id)[1:5], ',') AS ids FROM x GROUP BY ALL"""
+
+
+def aligned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content scores of three sources in one row an id: same ids, prompts and folds are checked by digests."""
+    d = sources_long(spark, sf_dir).where("trait = 'content'")
+    got = AL.align({s: d.select("id", "prompt_num", "fold", F.col(s).alias("pred")) for s in ("alpha", "beta", "gamma")}, "id", ["pred"], equal=["prompt_num", "fold"])
+    return rounded(got)
+
+
+ALIGNED_SQL = f"WITH {SCORES} SELECT 'D' || doc_id AS id, prompt_num, (doc_id * 7 % 5)::INT AS fold, {r('alpha')} AS pred_alpha, {r('beta')} AS pred_beta, {r('gamma')} AS pred_gamma FROM scores WHERE trait = 'content'"
+
+
 QUERIES = {
+    "source_differences": (source_differences, DIFFERENCES_SQL),
+    "aligned_sources": (aligned_sources, ALIGNED_SQL),
     "metrics_by_prompt": (prompt_report, PROMPT_SQL),
     "evaluation_report": (full_report, FULL_SQL),
     "split_audit": (audit, AUDIT_SQL),
