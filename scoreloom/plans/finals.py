@@ -10,6 +10,7 @@ from ..operators import comparison as CO
 from ..operators import final as FI
 from ..operators import metrics as M
 from ..operators import models as MO
+from ..operators import pairing as PA
 from ..operators import rationale as R
 from ..sources import strict as S
 from .essays import SCORES, essays, gold_score, r, read, rounded, source_score, sources_long
@@ -172,7 +173,14 @@ DEPLOY_SQL = f"""WITH {SCORES}, d AS (SELECT doc_id, fold, {_max('content', 'alp
 p AS (SELECT doc_id, avg(y.b0 + y.b1 * a + y.b2 * b) AS c, avg(z.b0 + z.b1 * a + z.b2 * b) AS e FROM d, {_fit('y', 'y')} JOIN {_fit('z', 'z')} USING (o) GROUP BY doc_id)
 SELECT doc_id, {r('least(greatest(c, 1), 5)', 5)} AS content, {r('least(greatest(e, 1), 5)', 5)} AS expression FROM p"""
 
+def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An epoch's batches of two documents of one language whose made-up scores differ."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", *[gold_score(t).alias(t) for t in TRAITS])
+    return PA.pair_batches(d, prompt="lang", key="doc_id", scores=list(TRAITS))
+
+
 QUERIES = {
+    "pair_batches": (pair_batches, None),
     "final_rows": (final_rows, FINAL_SQL),
     "review_pack": (review_pack, PACK_SQL),
     "judge_contract": (judge_contract, JUDGE_SQL),
