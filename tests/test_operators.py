@@ -470,4 +470,38 @@ def test_streams(spark, tmp_path):
     for k in (1, 2):  # a second run, also without its checkpoint, adds nothing
         s = spark.readStream.schema("id string, trait string, prompt_num string, x double").parquet(src)
         scoring.append_new(scoring.calibrated_stream(s, line, off, "x"), str(tmp_path / "log"), str(tmp_path / f"cp{k}")).awaitTermination()
-    assert sorted((r.id, r.calibrated) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [("a", 3.75), ("b", 5.0)]
+    assert sorted((r.id, r.calibrated) for r in scoring.read_log(spark, str(tmp_path / "log")).collect()) == [("a", 3.75), ("b", 5.0)]
+
+
+def test_submission_survives_a_crash(spark, tmp_path):
+    """A run that dies within a batch goes on: nothing is lost, nothing comes twice, and no batch reads the log."""
+    src, log, at = str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "cp")
+    schema, tries = "id string, x double", []
+
+    def put(lo, hi):
+        spark.createDataFrame([(f"i{k}", float(k)) for k in range(lo, hi)] + [("i0", -1.0)], schema).coalesce(1).write.mode("append").parquet(src)
+
+    def scored(batch):
+        tries.append(batch.count())
+        out = batch.withColumn("y", F.col("x") * 2)
+        if len(tries) == 2:  # dies when its rows are written
+            out = out.withColumn("y", F.when(F.col("x") == 15, F.raise_error("killed").cast("double")).otherwise(F.col("y")))
+        return out
+
+    def go():
+        q = scoring.append_new(spark.readStream.schema(schema).parquet(src), log, at, work=scored)
+        q.awaitTermination()
+
+    put(0, 10)
+    go()
+    put(5, 20)
+    with pytest.raises(Exception, match="killed"):
+        go()
+    go()
+    go()  # nothing new
+    got = scoring.read_log(spark, log)
+    assert sorted((r.id, r.y) for r in got.where("id <> 'i0'").collect()) == sorted((f"i{k}", 2.0 * k) for k in range(1, 20))
+    assert got.where("id = 'i0'").count() == 1 and got.select("run").distinct().count() == 1
+    assert tries == [10, 10, 10]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert "RocksDB" not in before
