@@ -428,3 +428,57 @@ def test_classifier_rows(spark):
     none = cotraining.train(nothing(spark), labels)
     assert cotraining.score(repeated(spark), none).count() == len(rows()) + 4
     assert cotraining.score(nothing(spark), none).count() == 0
+
+
+def _grams(words):
+    return set(zip(words, words[1:], strict=False)) or {(w,) for w in words}
+
+
+def brute_licenses(text, templates, threshold):
+    """Best Dice per licence over lines, paragraphs and the whole; over runs of a template's length where none of those reaches it."""
+    cut = lambda x: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", "".join(c.lower() if "A" <= c <= "Z" else c for c in x))
+    lines = (text or "").split("\n")
+    passages, part = [cut(x) for x in [*lines, text or ""]], []
+    for line in [*lines, ""]:
+        if line.strip(" \t\r\x0b\x0c"):
+            part.append(line)
+        else:
+            passages.append(cut("\n".join(part)))
+            part = []
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    out = {}
+    for name, texts in templates.items():
+        own = [cut(t) for t in texts]
+        near = [dice(_grams(p), _grams(t)) for p in passages if p for t in own]
+        if max(near, default=0) < threshold:
+            words = cut(text or "")
+            near = [dice(_grams(words[i : i + len(t)]), _grams(t)) for t in own if len(t) > 1 for i in range(len(words) - len(t) + 1)]
+        if max(near, default=0) >= threshold:
+            out[name] = max(near)
+    return out
+
+
+def test_license_scan_is_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = ["use", "Copy", "MIT", "free", "of", "é9", "sell"]
+    some = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    templates = {"one": [some(4), some(9)], "two": [some(7)], "long": [some(80)], "word": ["sell"]}
+    texts = [None, "", "sell", "\n \n", "MIT"]
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            words = rng.choice([t for of in templates.values() for t in of]).split() if rng.random() < 0.4 else some(rng.randint(0, 12)).split()
+            for _ in range(rng.randint(0, 3)):
+                if words:
+                    words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            parts.append(rng.choice(["", "x, ", "\t"]) + rng.choice([" ", ", ", "-"]).join(words))
+        texts.append("".join(p + rng.choice(["\n", "\n\n", " ", "\n \n"]) for p in parts))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).collect()
+    assert len(got) == len(texts)
+    found = 0
+    for r in got:
+        want = brute_licenses(texts[r.doc_id], templates, 0.8)
+        assert {x["name"]: round(x["dice"], 12) for x in r.licenses} == {k: round(v, 12) for k, v in want.items()}, texts[r.doc_id]
+        assert (r.n_licenses, round(r.dice, 12)) == (len(want), round(max(want.values(), default=0.0), 12))
+        found += len(want)
+    assert found > 200
