@@ -265,33 +265,62 @@ def apply_linear(df: DataFrame, fits: DataFrame, x: str, fold: str, out: str) ->
     return d.withColumn(out, F.zip_with("w", "b", lambda w, b: clip(F.aggregate(F.zip_with(x, w, lambda a, c: a * c), b, lambda s, v: s + v)))).drop("held", "w", "b")
 
 
-def select_ridge(df: DataFrame, x: str, target: str, features: int, *, alphas: list[float], widths: list[int], fold: str = "fold") -> DataFrame:
-    """Nested choice per outer fold: (outer, width, alpha, rmse); the smallest rmse over inner folds, then fewer features, then larger alpha.
+def _candidates(moments: dict[int, np.ndarray], features: int, alphas: list[float], widths: list[int]) -> list[tuple]:
+    """(outer, width, alpha, rmse) of each candidate over the inner folds; no rows of the outer fold take part.
 
     Inner errors come from Gram matrices alone: the held fold's squared error is a quadratic form of its own moments.
     """
-    moments = {r[fold]: square(r.g) for r in gram_moments(df, [fold], x, [target]).collect()}
-    rows = []
+    rows, whole = [], sum(moments.values())
     for outer in moments:
         inner = [f for f in moments if f != outer]
+        trains = {f: whole - moments[outer] - moments[f] for f in inner if len(inner) > 1}
         for width in widths:
             for alpha in alphas:
                 se = n = 0.0
-                for f in inner:
-                    train = sum(moments[k] for k in inner if k != f)
-                    if np.isscalar(train):
-                        continue
+                for f, train in trains.items():
                     w, b = ridge_from_gram(train, features, 1, alpha, np.arange(width))
                     v = np.zeros(len(train))
                     v[0], v[1 : 1 + width], v[-1] = b[0], w[:, 0], -1.0
                     se += v @ moments[f] @ v
                     n += moments[f][0, 0]
                 rows.append((outer, width, float(alpha), float(np.sqrt(max(se, 0) / max(n, 1)))))
-    all_ = df.sparkSession.createDataFrame(rows, "outer_fold long, width int, alpha double, rmse double")
+    return rows
+
+
+def select_ridge(df: DataFrame, x: str, target: str, features: int, *, alphas: list[float], widths: list[int], fold: str = "fold") -> DataFrame:
+    """Nested choice per outer fold: (outer, width, alpha, rmse); the smallest rmse over inner folds, then fewer features, then larger alpha."""
+    moments = {r[fold]: square(r.g) for r in gram_moments(df, [fold], x, [target]).collect()}
+    all_ = df.sparkSession.createDataFrame(_candidates(moments, features, alphas, widths), "outer_fold long, width int, alpha double, rmse double")
     best = F.min_by(F.struct("width", "alpha", "rmse"), F.struct(F.round("rmse", 12), "width", -F.col("alpha")))
     return all_.groupBy("outer_fold").agg(best.alias("x")).select("outer_fold", "x.*")
 
 
+def nested_ridge_oof(df: DataFrame, key: str, blocks: dict[str, str], *, alphas: list[float], widths: list[int], fold: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """(predictions, choices): each target of ``blocks`` (target -> its array of features) is predicted out of fold by ridge on the first features.
+
+    Width and penalty are chosen per outer fold and target, as ``select_ridge`` does, and the model is fitted on all rows of the
+    other folds. predictions: key, fold and a clipped column per target; choices: (outer_fold, target, width, alpha, rmse).
+    One Gram matrix a fold and target reaches the driver. A target's fit leaves out rows where it is null; at least three folds.
+    """
+    fits, told, most = [], [], max(widths)
+    for target, x in blocks.items():
+        moments = {r[fold]: square(r.g) for r in gram_moments(df.where(F.col(target).isNotNull()).withColumn(x, F.slice(x, 1, most)), [fold], x, [target]).collect()}
+        if len(moments) < 3:
+            raise ValueError(f"{target}: nested choice needs three folds")
+        whole, all_ = sum(moments.values()), _candidates(moments, most, alphas, widths)
+        for outer in moments:
+            mine = [c for c in all_ if c[0] == outer]
+            _, width, alpha, rmse = min(mine, key=lambda c: (round(c[3], 12), c[1], -c[2]))
+            w, b = ridge_from_gram(whole - moments[outer], most, 1, alpha, np.arange(width))
+            fits.append((outer, target, w[:, 0].tolist(), float(b[0])))
+            told.append((outer, target, width, alpha, rmse))
+    spark = df.sparkSession
+    table = spark.createDataFrame(fits, "held long, target string, w array<double>, b double").groupBy("held").agg(*[F.first(F.when(F.col("target") == t, F.struct("w", "b")), ignorenulls=True).alias(f"__{t}") for t in blocks])
+    pred = lambda t, x: clip(F.aggregate(F.zip_with(F.slice(x, 1, F.size(F.col(f"__{t}")["w"])), F.col(f"__{t}")["w"], lambda a, c: a * c), F.col(f"__{t}")["b"], lambda s, v: s + v))
+    out = df.join(F.broadcast(table), F.col(fold) == F.col("held"), "left").select(key, fold, *[pred(t, x).alias(t) for t, x in blocks.items()])  # a row a fold
+    return out, spark.createDataFrame(told, "outer_fold long, target string, width int, alpha double, rmse double")
+
+
 def one_hot(column: str, values: list[str]) -> Column:
     """0/1 array; unknown values give zeros."""
     return F.array(*[(F.col(column) == v).cast("double") for v in values])

@@ -11,7 +11,7 @@ from ..operators import folds as FO
 from ..operators import models as M
 from ..operators import neighbours as N
 from ..operators import text_ridge as TR
-from .essays import ESSAYS, SCORES, essays, r, read, rounded, sources_long
+from .essays import ESSAYS, SCORES, essays, gold_score, r, read, rounded, sources_long
 from .texts import with_prompts
 
 
@@ -229,8 +229,6 @@ def answer_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.transform(F.sequence(F.lit(0), F.lit(17)), lambda q: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: 1.0 + F.pmod(3 * F.col("doc_id") + q + c, F.lit(7))))
     norm = F.transform(q, lambda p: F.transform(p, lambda v: v / F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))
     d = read(spark, sf_dir, "documents").select("doc_id")
-    from .essays import gold_score
-
     return d.select("doc_id", (F.col("doc_id") * 7 % 5).alias("fold"), norm.alias("probs"), gold_score("content").alias("content"))
 
 
@@ -241,7 +239,15 @@ def assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got)
 
 
+def assessment_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions of the three traits, each from its own six questions; width (three to six questions) and penalty are chosen within."""
+    a = answer_probabilities(spark, sf_dir).select("doc_id", "fold", *[F.flatten(F.slice("probs", 6 * i + 1, 6)).alias(f"x_{t}") for i, t in enumerate(TRAITS)], *[gold_score(t).alias(t) for t in TRAITS])
+    got, _ = M.nested_ridge_oof(a, "doc_id", {t: f"x_{t}" for t in TRAITS}, alphas=[0.01, 0.1, 1.0, 10.0, 100.0], widths=[15, 20, 25, 30])
+    return rounded(got, 4)
+
+
 QUERIES = {
+    "assessment_oof": (assessment_oof, None),
     "score_bands": (bands, f"WITH {_BANDS} SELECT prompt_num, band::INT AS band, count(*) AS n FROM banded GROUP BY ALL"),
     "stratified_folds": (stratified, None),
     "lopo_folds": (lopo, "SELECT 'D' || doc_id AS id, lang AS prompt_num, dense_rank() OVER (ORDER BY lang) - 1 AS fold FROM documents"),

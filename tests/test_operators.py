@@ -505,3 +505,40 @@ def test_submission_survives_a_crash(spark, tmp_path):
     assert tries == [10, 10, 10]
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert "RocksDB" not in before
+
+
+def test_nested_ridge_is_the_closed_form(spark):
+    rng = np.random.default_rng(9)
+    n, folds = 60, 4
+    x = {t: rng.normal(size=(n, 6)) * [1, 5, 0.1, 1, 1, 0] for t in ("a", "b")}
+    y = {t: np.clip(3 + x[t][:, :2] @ [0.5, 0.1] + rng.normal(size=n) * 0.5, 0, 6) for t in x}
+    y["b"][7] = np.nan
+    rows = [(i, i % folds, *(x[t][i].tolist() for t in x), *(None if np.isnan(y[t][i]) else float(y[t][i]) for t in x)) for i in range(n)]
+    d = spark.createDataFrame(rows, "id long, fold long, xa array<double>, xb array<double>, a double, b double").repartition(3)
+    pred, choices = models.nested_ridge_oof(d, "id", {"a": "xa", "b": "xb"}, alphas=[0.1, 10.0], widths=[2, 4, 6])
+
+    def ridge(train, t, width, alpha):
+        train = train & ~np.isnan(y[t])
+        z, v = x[t][:, :width], y[t][train]
+        mean, sd = z[train].mean(0), z[train].std(0)
+        z = (z - mean) / np.where(sd > 1e-12, sd, 1)
+        w = np.linalg.solve(z[train].T @ z[train] + alpha * np.eye(width), z[train].T @ (v - v.mean()))
+        return z @ w + v.mean()
+
+    fold = np.arange(n) % folds
+    got, told = {r.id: r for r in pred.collect()}, {(r.outer_fold, r.target): r for r in choices.collect()}
+    assert len(got) == n and len(told) == 8
+    for o in range(folds):
+        for t in x:
+            scores = []
+            for width in (2, 4, 6):
+                for alpha in (0.1, 10.0):
+                    e = [(ridge((fold != o) & (fold != f), t, width, alpha) - y[t])[(fold == f) & ~np.isnan(y[t])] for f in range(folds) if f != o]
+                    scores.append((round(float(np.sqrt(np.mean(np.concatenate(e) ** 2))), 9), width, -alpha))
+            best = min(scores)
+            r = told[o, t]
+            assert (r.width, r.alpha) == (best[1], -best[2]) and r.rmse == pytest.approx(best[0], abs=1e-8)
+            want = np.clip(ridge(fold != o, t, r.width, r.alpha), 1, 5)
+            assert all(got[i][t] == pytest.approx(want[i], abs=1e-8) for i in np.flatnonzero(fold == o).tolist())
+    with pytest.raises(ValueError, match="three folds"):
+        models.nested_ridge_oof(d.where("fold < 2"), "id", {"a": "xa"}, alphas=[1.0], widths=[2])
