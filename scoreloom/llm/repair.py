@@ -92,10 +92,10 @@ def compress(ids: np.ndarray, end: int = END, first: int = FIRST, least: int = L
 
 def expansion(rules: np.ndarray, first: int = FIRST) -> np.ndarray:
     """Number of ids under each rule. A rule names earlier ones alone, so one walk in their order does for any nesting."""
-    length = [1] * first
+    length: list[int] = []
     for a, b in rules.tolist():
-        length.append(length[a] + length[b])
-    return np.array(length[first:], np.uint64)
+        length.append((length[a - first] if a >= first else 1) + (length[b - first] if b >= first else 1))
+    return np.array(length, np.uint32)
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int = FIRST) -> np.ndarray:
