@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-from collections import ChainMap
 
 import numpy as np
 
@@ -32,20 +30,22 @@ class WordEncoder:
     _own: dict[str, WordEncoder] = CACHES.setdefault("words", {})
 
     def __init__(self, name: str, most_words: int = 1_000_000) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most_words
-        self.words: dict[str, bytes] = {}
+        encode = self.tokenizer.encode
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words, asked for at once; those of ordinary length are kept."""
-        got = {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
-        self.words.update(got if max(map(len, words)) <= 64 else {w: x for w, x in got.items() if len(w) <= 64})
-        return got
+        class Words(dict):
+            def __missing__(self, word: str) -> bytes:
+                got = np.array(encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+                if len(word) <= 64:
+                    self[word] = got
+                return got
+
+        self.words = Words()
 
     @classmethod
     def of(cls, name: str) -> WordEncoder:
@@ -60,8 +60,4 @@ class WordEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
         if len(self.words) > self.most:
             self.words.clear()
-        words = PIECE.findall(text.lower())
-        new = list(set(words).difference(self.words))
-        got = self._learn(new) if new else {}
-        known = self.words if all(w in self.words for w in new) else ChainMap(self.words, got)  # a very long word is not kept
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, PIECE.findall(text.lower()))), "<u2")
