@@ -196,9 +196,7 @@ SELECT item_id, term, {r('w / sqrt(sum(w * w) OVER (PARTITION BY item_id))')} AS
 
 def document_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF of whole documents: weights of every term."""
-    d = read(spark, sf_dir, "documents")
-    c = TE.counts(d, "doc_id", TE.word_grams(F.col("text"), 1, 2))
-    return rounded(TE.tfidf(c, TE.vocabulary(c), F.lit(d.count()), "doc_id"))
+    return rounded(TE.document_weights(read(spark, sf_dir, "documents"), "doc_id"))
 
 
 DOCUMENT_TFIDF_SQL = TFIDF_SQL.replace("benchmark", "documents").replace("item_id", "doc_id")
