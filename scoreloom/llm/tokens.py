@@ -1,8 +1,12 @@
-"""Word-level encoding with a public BPE vocabulary: each distinct word is encoded once per worker by the library."""
+"""Word-level encoding with a public BPE vocabulary: each distinct word is encoded once per worker by the library's model.
+
+A piece of a safe text is what the library's normalizer and splitter would leave of it, so it goes to the BPE model at once.
+"""
 
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
@@ -31,16 +35,28 @@ class WordEncoder:
 
     def __init__(self, name: str, most_words: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most_words
-        encode = self.tokenizer.encode
+        tokenize = self.tokenizer.model.tokenize
+        stand_in = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+        class Bytes(dict):
+            """What stands for a character's bytes in the vocabulary; printable ASCII stands for itself."""
+
+            def __missing__(self, code: int) -> str:
+                got = self[code] = stand_in(chr(code))[0][0]
+                return got
+
+        table = Bytes()
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                got = np.array(encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+                ids = [t.id for t in tokenize(word if word.isascii() else word.translate(table))]
+                got = struct.pack(f"<{len(ids)}H", *ids)
                 if len(word) <= 64:
                     self[word] = got
                 return got

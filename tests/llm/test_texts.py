@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scoreloom.llm import chat, cotraining, licenses, packing, quality_rules, repair, token_counts
-from scoreloom.llm.tokens import WordEncoder
+from scoreloom.llm.tokens import UNSAFE, WordEncoder
 from tests.llm.cases import documents, nothing, prose, repeated, rows
 
 ODD = ["", "'", "it's", "''s 're", "!'s", "  a  b \n\n c\t", "x<|endoftext|>y <|endoftext|>", "İstanbul ẞ ſ µ", "é Å", "\x1c\x85\xa0", "世界 ١٢ ½ 😀", "DON'T I'LL", "a" * 3000]
@@ -38,6 +38,38 @@ def test_word_encoder(word_ids):
         assert enc.encode(x).tolist() == word_ids(x)
 
 
+def test_new_words_go_to_the_model_alone(word_ids, monkeypatch):
+    """No new word of a safe text takes the library's normalizer and splitter again; other texts take them once, whole."""
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.whole = inner, []
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode(self, text, **more):
+            self.whole.append(text)
+            return self.inner.encode(text, **more)
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(Tokenizer.from_file(path))
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counting)
+    enc = WordEncoder("word_bpe_49k.json")
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZßäéñøœžŽÆªº"
+    new = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 90))) + rng.choice(["", "'s", "½", "–!", "‘’“”…€", "7"]) for _ in range(40)) for _ in range(100)]
+    every = "".join(map(chr, range(0x21, 0x180)))
+    for x in [*new, *every, *(c + "a" for c in every)]:
+        if not UNSAFE.search(x):
+            assert enc.encode(x).tolist() == word_ids(x)
+    assert enc.tokenizer.whole == []
+    assert enc.encode("new wörds 世界").tolist() == word_ids("new wörds 世界")
+    assert enc.tokenizer.whole == ["new wörds 世界"]
+
+
 def test_token_counts(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     c = token_counts.Counter.of("byte_bpe_50k.json")
