@@ -47,14 +47,18 @@ def compress(ids: np.ndarray, end: int = END, first: int = FIRST, least: int = L
     while len(seq) > 1 and n_rules < limit:
         key = seq[:-1] << np.uint32(16) | seq[1:]
         sortable = np.sort(key)
-        edge = np.flatnonzero(np.r_[True, sortable[1:] != sortable[:-1]])
-        count = np.diff(np.r_[edge, len(sortable)])
-        pair = sortable[edge]
+        # first places of runs of ``least`` or more equal keys
+        often = sortable[least - 1 :] == sortable[: max(len(key) - least + 1, 0)]
+        often[1:] &= sortable[1 : len(often)] != sortable[: max(len(often) - 1, 0)]
+        at = np.flatnonzero(often)
         # the end id stands alone, so no pair crosses a document's end
-        often = np.flatnonzero((count >= least) & (pair >> np.uint32(16) != end) & (pair & np.uint32(0xFFFF) != end))
-        if len(often) > wide:
-            often = often[np.argpartition(-count[often], wide)[:wide]]
-        pairs = sortable[edge[often]][np.lexsort((sortable[edge[often]], -count[often]))]
+        at = at[(sortable[at] >> np.uint32(16) != end) & (sortable[at] & np.uint32(0xFFFF) != end)]
+        pairs = sortable[at]
+        count = np.searchsorted(sortable, pairs, "right") - at
+        if len(pairs) > wide:
+            most = np.argpartition(-count, wide)[:wide]
+            pairs, count = pairs[most], count[most]
+        pairs = pairs[np.lexsort((pairs, -count))]
         lefts, rights, taken = set(), set(), []
         for p in pairs.tolist():
             a, b = p >> 16, p & 0xFFFF
@@ -68,13 +72,15 @@ def compress(ids: np.ndarray, end: int = END, first: int = FIRST, least: int = L
         if not taken:
             break
         taken = np.sort(np.array(taken, np.uint32))
-        # places whose pair shares a slot with a taken one; the pair itself is then looked up
-        slot = np.zeros(1 << 20, bool)
-        slot[(taken * np.uint32(2654435761)) >> np.uint32(12)] = True
-        at = np.flatnonzero(slot[(key * np.uint32(2654435761)) >> np.uint32(12)])
-        pos = np.searchsorted(taken, key[at])
-        pos[pos == len(taken)] = 0
-        hit = taken[pos] == key[at]
+        # a slot tells which taken pair may be at a place; where it is another one, the pair is looked up
+        slot = np.zeros(1 << 20, np.uint16)
+        slot[(taken * np.uint32(2654435761)) >> np.uint32(12)] = np.arange(1, len(taken) + 1)
+        slots = slot.take((key * np.uint32(2654435761)) >> np.uint32(12))
+        at = np.flatnonzero(slots)
+        pos, here = slots[at].astype(np.int64) - 1, key[at]
+        other = np.flatnonzero(taken[pos] != here)
+        pos[other] = np.minimum(np.searchsorted(taken, here[other]), len(taken) - 1)
+        hit = taken[pos] == here
         at, pos = at[hit], pos[hit]
         # occurrences overlap only in runs of one id: every second stays
         run = np.r_[True, np.diff(at) != 1]

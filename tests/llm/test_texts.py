@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scoreloom.llm import chat, cotraining, licenses, packing, quality_rules, repair, token_counts
-from scoreloom.llm.tokens import UNSAFE, WordEncoder
+from scoreloom.llm.tokens import MARK, PIECE, UNSAFE, WordEncoder, pieces
 from tests.llm.cases import documents, nothing, prose, repeated, rows
 
 ODD = ["", "'", "it's", "''s 're", "!'s", "  a  b \n\n c\t", "x<|endoftext|>y <|endoftext|>", "İstanbul ẞ ſ µ", "é Å", "\x1c\x85\xa0", "世界 ١٢ ½ 😀", "DON'T I'LL", "a" * 3000]
@@ -70,6 +70,15 @@ def test_new_words_go_to_the_model_alone(word_ids, monkeypatch):
     assert enc.tokenizer.whole == ["new wörds 世界"]
 
 
+def test_pieces_by_kinds_are_the_patterns():
+    rng = random.Random(6)
+    al = [*"ab'sStTdDmM rRlLvVeE!?,.12½²ªºµßéÉÀ×÷Þþÿ\xa0\xad \t\n\r\x0b\x0c", "'", "'", "'s", "'re", "'LL", "''", "’", "œ", "–", "<|", MARK, "\x85", "K"]
+    for x in [*ODD, *hostile(2000, 7), *map(chr, range(1, 0x2200)), *("".join(rng.choices(al[: rng.choice([-6, None])], k=rng.randint(1, 14))) for _ in range(20_000))]:
+        got, safe = pieces(x), not UNSAFE.search(x)
+        assert (got is not None) == safe, x
+        assert not safe or [p.replace(MARK, "'") for p in got] == PIECE.findall(x.lower()), x
+
+
 def test_token_counts(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     c = token_counts.Counter.of("byte_bpe_50k.json")
@@ -170,6 +179,24 @@ def test_grammar_round_trip():
     assert len(repair.compress(np.array([2, 3] * 500, np.uint16), least=2)[0]) < 200
 
 
+def test_first_rules_are_the_frequent_pairs():
+    """The first round takes pairs in order of their counts, each where no symbol lets it overlap with one taken before."""
+    rng = np.random.default_rng(9)
+    for top in (3, 40, 3000):
+        ids = (rng.zipf(1.3, 4000) % top).astype(np.uint16)
+        key = ids[:-1].astype(int) << 16 | ids[1:]
+        lefts, rights, want = set(), set(), set()
+        for p, n in sorted(collections.Counter(key.tolist()).items(), key=lambda x: (-x[1], x[0])):
+            a, b = p >> 16, p & 0xFFFF
+            if n >= repair.LEAST and repair.END not in (a, b) and a not in rights and b not in lefts:
+                lefts.add(a)
+                rights.add(b)
+                want.add((a, b))
+        seq, rules = repair.compress(ids)
+        assert set(map(tuple, rules[: len(want)].tolist())) == want
+        assert (repair.expand(seq, rules) == ids).all()
+
+
 def test_rules_nested_deeply():
     """A chain in which every rule adds an id to the one before."""
     first = repair.FIRST
